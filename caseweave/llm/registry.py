@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, language, licenses, pii, simhash, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_simhash": simhash.op2_simhash,
+    "op4_language_id": language.op4_language_id,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_url_filter": url_filter.op8_url_filter,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
