@@ -19,21 +19,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests on one machine,
-    is a folder under the warehouse (or else a temporary one) taken.
-    """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
+    Only where that is unset, as in tests on one machine, is a temporary folder taken, and kept for the session."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="caseweave-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
+    return context.getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -148,8 +148,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, counts.reshape(len(languages), -1), np.array([min(sizes[x], sample) for x in languages]))
 
 
-def predict_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, lang_pred and score of each document (text; other columns aren't looked at).
+def predict_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in keep, lang_pred and score (by these or other names) of each document (text; other columns aren't looked at).
 
     lang_pred is a language of the model, or und (score 0) for a text that is null or has no letter, and for every
     text if the model has no language. Ties go to the language that is first by name. Whole texts of any length are
@@ -164,10 +164,16 @@ def predict_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("do
         for b in batches:
             lang, score = shared.value.predict([t or "" for t in b.column("text").to_pylist()])
             kept = [b.column(i) for i, c in enumerate(b.schema.names) if c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(c for c in b.schema.names if c in keep), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(c for c in b.schema.names if c in keep), *names])
 
     small_batches(spark)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of docs in a language of the model, with docs' own columns: not und, and of a score of `least` or more."""
+    found = predict_language(docs, model, tuple(docs.columns), ("__lang_pred", "__score"))
+    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out() -> Column:
