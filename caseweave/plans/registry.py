@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+TOPICS = ("audit",)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _topic in TOPICS:
+    _module = import_module(f"caseweave.plans.{_topic}_queries")
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
