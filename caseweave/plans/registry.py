@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("audit", "signin", "text")
+TOPICS = ("audit", "signin", "text", "mail")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

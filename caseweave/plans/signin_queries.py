@@ -94,10 +94,10 @@ SELECT files, records, largest, (SELECT count(*) FROM f WHERE n = largest) AS "f
 
 
 def token_replay(spark, d):
-    return S.token_replay(A.audit(spark, d).filter("k % 2 = 0"), A.signins(spark, d).filter("asn <> '3' AND event_id % 10 = 1 AND sec > 1704200000"), ("mailitemsaccessed", "send"))
+    return S.token_replay(A.audit(spark, d).filter("k % 2 = 0"), A.signins(spark, d).filter("event_id % 100 = 1 AND sec > 1704200000"), ("mailitemsaccessed", "send"))
 
 
-TOKEN_REPLAY = f"""WITH {SIGNINS}, s AS (SELECT * FROM v_signin WHERE asn <> '3' AND event_id % 10 = 1 AND sec > 1704200000)
+TOKEN_REPLAY = f"""WITH {SIGNINS}, s AS (SELECT * FROM v_signin WHERE event_id % 100 = 1 AND sec > 1704200000)
 SELECT ip, count(*) AS events, count(*) FILTER (op_lower IN ('mailitemsaccessed', 'send')) AS token_events, min(sec) AS first_sec, max(sec) AS last_sec FROM v_audit
 WHERE k % 2 = 0 AND sec BETWEEN (SELECT min(sec) FROM s) AND (SELECT max(sec) FROM s) AND ip NOT IN (SELECT ip FROM s WHERE ok) GROUP BY ip
 HAVING count(*) >= 3 AND count(*) FILTER (op_lower IN ('mailitemsaccessed', 'send')) > 0"""
