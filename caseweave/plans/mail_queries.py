@@ -224,11 +224,11 @@ x AS (SELECT a.*, f.path AS original, f.sha AS original_sha, CASE WHEN a.day < 1
 
 def message_trace_gap(spark, d):
     t = A.audit(spark, d).filter("op_lower = 'send'").select("message_id", F.col("actor").alias("sender"), F.col("ip").alias("recipient"), "sec")
-    return J.trace_gap(t, A.messages(spark, d), ("user1", "USER2", "user3"), 19725 * 86400)
+    return J.trace_gap(t, A.messages(spark, d).filter("path % 2 = 0"), ("user1", "USER2", "user3"), 19725 * 86400)
 
 
 MESSAGE_TRACE_GAP = f"""WITH {AUDIT_BASE}, {MESSAGES} SELECT replace(replace(message_id, '<', ''), '>', '') AS id, actor AS sender, ip AS recipient, sec FROM v_audit
-WHERE op_lower = 'send' AND actor IN ('user1', 'user2', 'user3') AND sec >= {19725 * 86400} AND message_id NOT IN (SELECT message_id FROM v_msg)"""
+WHERE op_lower = 'send' AND actor IN ('user1', 'user2', 'user3') AND sec >= {19725 * 86400} AND message_id NOT IN (SELECT message_id FROM v_msg WHERE path % 2 = 0)"""
 
 
 def recipient_notification(spark, d):

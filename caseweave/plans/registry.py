@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("audit", "signin", "text", "mail")
+TOPICS = ("audit", "signin", "text", "mail", "thread", "score")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
