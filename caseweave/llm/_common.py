@@ -1,14 +1,15 @@
-"""Helpers that the operators share: narrow materialisation, salted groups, checked broadcasts."""
+"""Helpers that the operators share: salted groups, checked broadcasts, narrow batches."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.checkpoint import materialize, shared_folder  # noqa: F401  for the operators
+
 #: A side is broadcast only while its counted rows times their width stay below this.
 BROADCAST_BYTES = 32 << 20
 #: Parts into which the rows of one group are dealt before they meet.
@@ -19,27 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, is a temporary folder taken, and kept for the session."""
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="caseweave-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return context.getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lower the rows of an Arrow batch, so that batches of long texts stay small. A lower setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
 }

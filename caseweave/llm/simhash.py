@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.operators.graph import components
+
 from ._common import ids_only, materialize, ordered_id, read_table, small_batches
 from ._words import NOT_SPACE, text_chunks
-from .components import connected_components
 
 SHINGLE = 4
 SEED = 42
@@ -310,7 +311,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED
     own = materialize(document_fingerprints(docs, shingle, seed))
     nodes = materialize(own.groupBy("fp").agg(F.min(ordered_id(F.col("doc_id"))).alias("of")))
     links = fingerprint_links(nodes.select("fp"), most, bands, cell)
-    comp = connected_components(links)  # node, label: only nodes with links
+    comp = components(links).withColumnRenamed("component", "label")  # only nodes with links
     named = nodes.join(comp, nodes["fp"] == comp["node"], "inner").select("fp", "of", "label")
     least = materialize(named.groupBy("label").agg(F.min("of").alias("of")))
     named = materialize(named.select("fp", "label").join(least, "label").select("fp", F.col("of")))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import xxhash
 
 from caseweave.llm import simhash
-from caseweave.llm.components import connected_components
+from caseweave.operators.graph import components
 
 
 def brute_fingerprint(text):
@@ -84,7 +84,7 @@ def check_links(spark, fps, **more):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    comp = {r.node: r.label for r in connected_components(simhash.fingerprint_links(df, **more)).collect()}
+    comp = {r.node: r.component for r in components(simhash.fingerprint_links(df, **more)).collect()}
     root = list(range(len(fps)))
 
     def find(i):
