@@ -15,7 +15,7 @@ PERIOD = 1000
 #: Target weights, where none are given: a source's documents to this power, which lifts the small ones.
 TEMPER = 0.7
 #: Documents of one source that are put in order together.
-CHUNK = 5_000
+CHUNK = 50_000
 
 
 def schedule(spark: SparkSession, sources: DataFrame, period: int = PERIOD) -> DataFrame:
