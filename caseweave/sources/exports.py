@@ -105,3 +105,72 @@ def identify(name: str, columns: list[str]) -> str:
     points = [2 * any(n in low for n in names) + len(cols & set(heads)) for _, names, heads in KINDS]
     best = max(points)
     return KINDS[points.index(best)][0] if best else ""
+
+
+def read_users(spark: SparkSession, path: str) -> DataFrame:
+    df = read_export(spark, path)
+    return df.select(field(df, "userprincipalname", "upn").alias("user_principal_name"), field(df, "displayname").alias("display_name"), field(df, "jobtitle", "title").alias("title"), field(df, "proxyaddresses", "emailaddresses").alias("proxy_addresses")).filter("user_principal_name IS NOT NULL")
+
+
+def read_devices(spark: SparkSession, path: str) -> DataFrame:
+    df = read_export(spark, path)
+    when = parse_iso(field(df, "registrationdatetime", "createddatetime", "approximatelastsignindatetime"))
+    return df.select(field(df, "displayname", "devicename", "name").alias("name"), field(df, "deviceid", "id").alias("device_id"), F.lower(field(df, "userprincipalname", "registeredowners", "owner")).alias("owner"), F.unix_seconds(when).alias("sec")).filter("name IS NOT NULL")
+
+
+def read_mfa(spark: SparkSession, path: str) -> DataFrame:
+    df = read_export(spark, path)
+    return df.select(field(df, "userprincipalname", "user", "upn", "displayname").alias("user"), field(df, "mfamethods", "authenticationmethods", "methods", "defaultmfamethod").alias("methods"), field(df, "mfaenabled", "mfastatus").alias("enabled")).filter("user IS NOT NULL")
+
+
+def read_roles(spark: SparkSession, path: str) -> DataFrame:
+    df = read_export(spark, path)
+    when = parse_iso(field(df, "assignmentdatetime", "createddatetime", "starttime", "activitydatetime"))
+    return df.select(field(df, "rolename", "roledisplayname", "role").alias("role"), field(df, "userprincipalname", "principaldisplayname", "user", "member").alias("user"), F.unix_seconds(when).alias("sec")).filter("role IS NOT NULL")
+
+
+def read_risk(spark: SparkSession, path: str) -> DataFrame:
+    df = read_export(spark, path)
+    when = parse_iso(field(df, "detecteddatetime", "activitydatetime", "createddatetime"))
+    return df.select(field(df, "riskeventtype", "risktype", "detectiontype").alias("detection"), field(df, "userprincipalname", "user").alias("user"), field(df, "risklevel", "risklevelaggregated").alias("level"), field(df, "ipaddress", "ip").alias("ip"), F.unix_seconds(when).alias("sec")).filter("detection IS NOT NULL OR user IS NOT NULL")
+
+
+def read_domains(spark: SparkSession, path: str) -> DataFrame:
+    df = read_export(spark, path)
+    return df.select(F.lower(F.regexp_replace(field(df, "domainname", "domain", "name", "id"), "^@", "")).alias("domain")).filter("domain LIKE '%.%'").distinct()
+
+
+def read_trace(spark: SparkSession, path: str) -> DataFrame:
+    """A message trace: message_id, sender, recipient, recipient_domain, subject, status, from_ip, sec."""
+    df = read_export(spark, path)
+    to = F.lower(F.coalesce(field(df, "recipientaddress", "recipient", "to"), F.lit("")))
+    return df.select(
+        F.coalesce(field(df, "messageid", "internetmessageid", "message_id"), F.lit("")).alias("message_id"), F.lower(F.coalesce(field(df, "senderaddress", "sender", "from"), F.lit(""))).alias("sender"), to.alias("recipient"), F.substring_index(to, "@", -1).alias("recipient_domain"),
+        F.coalesce(field(df, "subject"), F.lit("")).alias("subject"), F.lower(F.regexp_replace(F.coalesce(field(df, "status", "deliverystatus"), F.lit("")), "[- ]", "")).alias("status"), F.coalesce(field(df, "fromip", "originalclientip", "clientip"), F.lit("")).alias("from_ip"), F.unix_seconds(parse_iso(field(df, "received", "date", "datetime", "timestamp"))).alias("sec"),
+    ).filter("sender <> '' OR recipient <> ''")
+
+
+def read_transport_rules(spark: SparkSession, path: str) -> DataFrame:
+    df = read_export(spark, path)
+    to = F.transform(F.split(F.lower(F.coalesce(field(df, "redirectmessageto", "blindcopyto", "copyto"), F.lit(""))), "[;,]"), F.trim)
+    redirects = F.filter(to, lambda a: a.contains("@"))
+    return df.select(field(df, "name", "identity", "rulename").alias("name"), field(df, "state", "enabled").alias("state"), redirects.alias("redirects"), (F.size(redirects) > 0).alias("conceals")).filter("name IS NOT NULL")
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """path, kind of the exports below a folder, by identify(): names come from the listing, columns from each file's first line."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    first = spark.read.option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("p"), "value", F.col("_metadata.file_block_start").alias("b"))
+    heads = first.filter("b = 0 AND trim(value) <> ''").groupBy("p").agg(F.first("value").alias("head"))
+    rows = files.join(heads, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("p", "^file:/+", "/"), "left")
+    head = F.lower(F.coalesce("head", F.lit("")))
+    name = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), " ", "")
+    points = []
+    for i, (kind, names, columns) in enumerate(KINDS):
+        hit = F.lit(False)
+        for n in names:
+            hit |= name.contains(n)
+        score = F.when(hit, 2).otherwise(0) + sum((F.when(head.contains(c), 1).otherwise(0) for c in columns), F.lit(0))
+        points.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")))
+    best = F.array_max(F.array(*points))
+    return rows.select("path", F.when(best["score"] > 0, best["kind"]).otherwise("").alias("kind"))
