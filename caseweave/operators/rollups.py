@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,17 +71,22 @@ def evidence_chain(shared: DataFrame) -> DataFrame:
     return shared.select("relation", "indicator", "path").distinct().withColumn("target", nxt).filter("target IS NOT NULL").select("relation", "indicator", F.col("path").alias("source"), "target")
 
 
+def _bits(path, digits: int) -> Column:
+    """The leading hex digits of a value's MD5, as a number."""
+    return F.conv(F.substring(F.md5(path.cast("string")), 1, digits), 16, 10).cast("long")
+
+
 def pivot_index(rows: DataFrame, key: str, path: str = "path") -> DataFrame:
-    """key, n and a digest of the sorted paths that hold it."""
-    return rows.filter(F.col(key) != "").groupBy(F.col(key).alias("key")).agg(F.count_distinct(path).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_set(F.col(path).cast("string"))), ",")).alias("digest"))
+    """key, n and a digest of the distinct paths that hold it, in any order: partial aggregates, so a hot key is no task's own."""
+    pairs = rows.filter(F.col(key) != "").groupBy(F.col(key).alias("key"), F.col(path).alias("p")).agg(F.lit(1).alias("one"))
+    return pairs.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(_bits(F.col("p"), 15)).alias("digest"))
 
 
-def corpus_fingerprint(rows: DataFrame, path: str, content: str, parts: int = 4096) -> DataFrame:
-    """One digest of a corpus: SHA-256 over the sorted digests of `parts` parts, each over its sorted lines. The parts are
+def corpus_fingerprint(rows: DataFrame, path: str, content: str) -> DataFrame:
+    """One digest of a corpus: SHA-256 over the sorted digests of up to 2^20 parts, each over its sorted lines. The parts are
     dealt by the path's hash, so no task holds the corpus."""
     line = F.concat_ws(":", F.col(path).cast("string"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
-    part = F.conv(F.substring(F.md5(F.col(path).cast("string")), 1, 3), 16, 10).cast("int") % parts
-    each = rows.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"), F.count("*").alias("n"))
+    each = rows.groupBy(_bits(F.col(path), 5).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"), F.count("*").alias("n"))
     item = F.array_sort(F.collect_list(F.struct("part", "d")))
     return each.agg(F.sum("n").alias("files"), F.sha2(F.array_join(F.transform(item, lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
 

@@ -84,10 +84,15 @@ def mfa_fatigue(signins: DataFrame, window_sec: int = 3600, least: int = 5) -> D
 
 
 def password_spray(signins: DataFrame, window_sec: int = 3600, least_users: int = 5, key: str = "ip") -> DataFrame:
-    """Addresses from which wrong passwords hit many users within a trailing window: the most at once, and all failures."""
+    """Addresses from which wrong passwords hit many users within a trailing window: the most at once, and all failures.
+
+    Time is cut into buckets of the window's length. A failure is put into its own bucket and the next, where later ones look
+    back at it; so an address with a third of all failures is dealt over its buckets."""
     bad = signins.filter(one_of("code", C.BAD_PASSWORD_CODES) & (F.col(key) != "") & (F.col("user") != ""))
-    trail = Window.partitionBy(key).orderBy("sec").rangeBetween(-window_sec, 0)
-    hit = bad.withColumn("users", F.size(F.collect_set(F.lower("user")).over(trail)))
+    b = F.floor(F.col("sec") / window_sec)
+    spread = bad.select(key, F.lower("user").alias("user"), "sec", b.alias("own"), F.explode(F.array(b, b + 1)).alias("bucket"))
+    trail = Window.partitionBy(key, "bucket").orderBy("sec").rangeBetween(-window_sec, 0)
+    hit = spread.withColumn("users", F.size(F.collect_set("user").over(trail))).filter("own = bucket")
     out = hit.groupBy(key).agg(F.max("users").alias("users_hit"), F.count("*").alias("failures"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
     return out.filter(F.col("users_hit") >= least_users).withColumn("users_hit", F.col("users_hit").cast("long"))
 
@@ -108,7 +113,8 @@ def single_leg_scores(legs: DataFrame, floor: int = 6) -> DataFrame:
     legs: corr, app, expected (a client for which device code is routine), single_factor, token_claim, agent, no_access_policy, ok."""
     by_app = legs.filter("app <> ''").groupBy("app").agg(F.count("*").alias("seen"))
     total = by_app.agg(F.sum("seen").alias("total"))
-    alone = legs.withColumn("legs", F.count("*").over(Window.partitionBy("corr"))).filter("legs = 1")
+    one = F.first(F.struct(*[c for c in legs.columns if c != "corr"])).alias("x")
+    alone = legs.groupBy("corr").agg(F.count("*").alias("legs"), one).filter("legs = 1").select("corr", "x.*")
     s = alone.join(by_app, "app", "left").crossJoin(F.broadcast(total))
     rare_app = ~F.col("expected") & (F.col("seen") <= F.greatest(F.lit(2.0), F.col("total") * 0.01))
     automated = F.lit(False)

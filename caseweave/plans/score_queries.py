@@ -230,14 +230,14 @@ def pivot_indexes(spark, d):
     return R.pivot_index(A.attachments(spark, d), "sha")
 
 
-PIVOT_INDEXES = f"WITH {ATTACHMENTS} SELECT sha AS key, count(DISTINCT path) AS n, md5(string_agg(DISTINCT path, ',' ORDER BY path)) AS digest FROM v_att GROUP BY sha"
+PIVOT_INDEXES = f"WITH {ATTACHMENTS} SELECT sha AS key, count(DISTINCT path) AS n, bit_xor(CAST('0x' || substr(md5(path), 1, 15) AS BIGINT)) AS digest FROM (SELECT DISTINCT sha, path FROM v_att) GROUP BY sha"
 
 
 def corpus_fingerprint(spark, d):
     return R.corpus_fingerprint(A.table(spark, d, "documents"), "doc_id", "text")
 
 
-CORPUS_FINGERPRINT = """WITH l AS (SELECT substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS part, doc_id || ':' || sha256(coalesce(text, '')) AS line FROM documents), p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS d, count(*) AS n FROM l GROUP BY part)
+CORPUS_FINGERPRINT = """WITH l AS (SELECT substr(md5(CAST(doc_id AS VARCHAR)), 1, 5) AS part, doc_id || ':' || sha256(coalesce(text, '')) AS line FROM documents), p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS d, count(*) AS n FROM l GROUP BY part)
 SELECT CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(d, chr(10) ORDER BY part)) AS fingerprint FROM p"""
 
 
