@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, buckets: int = BUCKETS, s
         F.octet_length(norm).alias("n"),
         F.xxhash64(F.substring(norm, 1, prefix)).alias("p"),
     )
-    by_prefix = shape.groupBy("n", "p").agg(F.count("*").alias("c"))
+    by_prefix = materialize(shape.groupBy("n", "p").agg(F.count("*").alias("c")))  # both rounds read it
     by_length = by_prefix.groupBy("n").agg(F.sum("c").alias("in_length"))
     # round 1 leaves lengths that two rows share, round 2 of these the prefixes that two rows share
     shared = by_prefix.join(by_length.filter("in_length > 1"), "n", "left_semi").filter("c > 1")
