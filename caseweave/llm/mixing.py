@@ -15,7 +15,7 @@ PERIOD = 1000
 #: Target weights, where none are given: a source's documents to this power, which lifts the small ones.
 TEMPER = 0.7
 #: Documents of one source that are put in order together.
-CHUNK = 50_000
+CHUNK = 2_000
 
 
 def schedule(spark: SparkSession, sources: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -88,8 +88,14 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temper: float
     bits = max(1, (max(total, 1) // chunk).bit_length())
     rows = rows.withColumn("chunk", F.shiftrightunsigned("h", 64 - bits))
     counts = rows.groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = materialize(counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(before, F.lit(0)).alias("before")))
+    # rows before each chunk: before its span of chunks, and within the span; both windows see about the root of the chunks
+    counts = materialize(counts.withColumn("span", F.shiftright("chunk", bits // 2)))
+    spans = counts.groupBy("source", "span").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("source").alias("s1"), F.col("span").alias("p1"), before.alias("before_span"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("source", "span").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.withColumn("within", within).join(spans, F.col("source").eqNullSafe(F.col("s1")) & (F.col("span") == F.col("p1")))
+    offsets = materialize(parts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), (F.col("before_span") + F.col("within")).alias("before")))
     nth = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("h", "id"))
     ranked = rows.withColumn("nth_here", nth).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth_here") - 1).withColumn("block", F.expr(f"rank div {block}"))
