@@ -52,7 +52,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
 
     ids is one column doc_id; null matches null. It is counted, and broadcast only if small.
     """
-    side = bounded_broadcast(ids.select(F.col("doc_id").alias("__id")), 64)
+    side = bounded_broadcast(ids.select(F.col("doc_id").alias("__id")), 128)
     return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), "left_semi" if keep else "left_anti")
 
 
