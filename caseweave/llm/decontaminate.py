@@ -179,9 +179,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     small_batches(spark)
     prints = materialize(item_fingerprints(items, span, k))
     lengths = sorted(r.n for r in prints.filter("n > 0").select("n").distinct().collect())  # below span: few numbers
-    set_bits = prints.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("b")).distinct().toPandas()["b"].to_numpy()  # at most `bits` numbers
-    table = np.zeros(bits >> 3, dtype=np.uint8)
-    np.bitwise_or.at(table, set_bits >> 3, (1 << (set_bits & 7)).astype(np.uint8))
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = prints.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("mask")).toPandas()
+    table = np.zeros(max(1, bits >> 6), dtype=np.int64)  # bits / 64 rows came at most, 4 MB in all
+    table[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64)
     found = materialize(document_hits(docs, table.tobytes(), lengths, span, k, bits))
     found = found.withColumn("row", F.monotonically_increasing_id())  # of a written table: fixed
     test = prints.groupBy("h", "n", F.col("at").alias("item_at"), F.col("ctx").alias("item_ctx")).agg(F.collect_set("item_id").alias("items"))
