@@ -114,7 +114,7 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
     m = materialize(messages.withColumns({"body": own, "sec": F.unix_seconds("arrival_ts"), "day": F.floor(F.unix_seconds("arrival_ts") / 86400), "sender": F.col("sender_email")}))
     out: dict[str, DataFrame] = {"messages": m}
 
-    base = P.findings(m, base_rules(m, t))
+    base = materialize(P.findings(m, base_rules(m, t)))
     summed = P.scores(m, base)
     domains = B.domain_baseline(m.withColumn("auth", F.when(F.col("auth_state").isin("aligned", "partial"), "pass").when(F.col("auth_state") == "failed", "fail")), t)
     d = domains.select(F.col("sender_domain").alias("d"), "n", "auth_seen", "auth_pass", "enforces", "established", "first_contact", "frequent")
