@@ -154,11 +154,11 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
         f = f.withColumns({"confirmed": F.lit(False), "attacker_read": F.lit(False)})
     no = F.lit(False)
     f = materialize(f.withColumns({"confirmed": F.coalesce("confirmed", no), "attacker_read": F.coalesce("attacker_read", no), "anchored": F.col("anchors") > 0, "in_window": S.in_lookback(F.col("sec"), anchors), "relevant": S.relevant(F.col("sec"), anchors), "attacker_sent": no, "substituted": no, "signin_confirmed": no}))
-    tiers = P.tiers(f, t)
-    tiered = f.join(tiers, "path")
+    tiers = materialize(P.tiers(f, t))
+    tiered = materialize(f.join(tiers, "path"))
     out |= {"tiers": tiers, "verdict": _verdict(f, takeover, t), "shortlist": P.shortlist(f), "statistics": P.signal_statistics(base, tiers), "techniques": P.technique_summary(base)}
 
-    feats = tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "day", text.normalize_subject(F.col("subject")).alias("subject"), text.token_set(F.col("subject")).alias("subject_tokens"), text.terms_present(body, tuple(C.PHISHING_TERMS)).alias("terms"), F.array_distinct(F.transform("urls", lambda u: url.parts(u)["host"])).alias("urls"), F.transform("attachments", lambda a: files.attachment_key(a["filename"])).alias("files"), F.transform("attachments", lambda a: a["sha256"]).alias("hashes"), "recipients")
+    feats = materialize(tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "day", text.normalize_subject(F.col("subject")).alias("subject"), text.token_set(F.col("subject")).alias("subject_tokens"), text.terms_present(body, tuple(C.PHISHING_TERMS)).alias("terms"), F.array_distinct(F.transform("urls", lambda u: url.parts(u)["host"])).alias("urls"), F.transform("attachments", lambda a: files.attachment_key(a["filename"])).alias("files"), F.transform("attachments", lambda a: a["sha256"]).alias("hashes"), "recipients"))
     keys = {"subject": (F.array("subject"), False), "sender": (F.array("sender"), False), "domain": (F.array("domain"), True), "url": (F.col("urls"), False), "file": (F.col("files"), False), "term": (F.col("terms"), True)}
     members = K.campaigns(K.campaign_links(feats, keys, t))
     out["campaigns"] = K.campaign_summary(members.join(tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "day", "score", F.col("likely_precursor").alias("precursor"), F.transform("urls", lambda u: url.parts(u)["host"]).alias("urls")), "path"))
