@@ -1,65 +1,108 @@
-"""Mixing sources to target weights (7): Pfair release times and deadlines, earliest deadline first. DataFrame functions only."""
+"""Mixing sources to target weights (7): Pfair release times and deadlines, earliest deadline first. Rows are placed by
+DataFrame functions only; the driver deals the slots to the sources' blocks, 8 bytes for each."""
 
 from __future__ import annotations
 
+from array import array
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ._common import ids_only, materialize, read_table
+from ._common import bounded_broadcast, materialize, read_table
 
 #: Documents of a source that are one block.
 BLOCK = 16
-#: Slots after which the schedule repeats; weights are rounded to multiples of 1 / PERIOD. With many sources it is longer.
+#: Weights are rounded to multiples of 2^-FINE.
+FINE = 36
+#: Slots of which a source without a weight gets one, where there is such a source; then weights are rounded to multiples
+#: of 1 / PERIOD. With many sources it is longer.
 PERIOD = 1000
+#: Blocks whose slots go to the executors as one row.
+PART = 1000
 #: Target weights, where none are given: a source's documents to this power, which lifts the small ones.
 TEMPER = 0.7
 #: Documents of one source that are put in order together.
 CHUNK = 2_000
 
 
+def shares_of(weights: list[float], slots: int) -> list[int]:
+    """Weights as whole shares of so many slots, by largest remainders. Who would get less than one gets one, and only
+    for these the others give something. Without any positive weight all are alike."""
+    if not sum(weights) > 0:
+        weights = [1.0] * len(weights)
+    least: set[int] = set()
+    while True:
+        total = sum(w for i, w in enumerate(weights) if i not in least)
+        x = {i: w / total * (slots - len(least)) for i, w in enumerate(weights) if i not in least}
+        under = {i for i in x if x[i] < 1}
+        if not under:
+            break
+        least |= under
+    out = [1 if i in least else int(x[i]) for i in range(len(weights))]
+    for i in sorted(x, key=lambda i: int(x[i]) - x[i])[: slots - sum(out)]:
+        out[i] += 1
+    return out
+
+
+def earliest_deadline_first(shares: list[int], slots: int, blocks: list[int]) -> list[array]:
+    """The slot of each source's each block. Block k may run from slot floor(k * slots / share) on and must be over by
+    ceil((k + 1) * slots / share); in each slot the block with the earliest deadline of those released runs, ties by
+    source. As the shares add up to the slots at most, every block meets its window. Blocks are in absolute numbers:
+    nothing is rounded to a period."""
+    out, t = [array("q") for _ in shares], 0
+    pending, ready = [(0, i) for i, n in enumerate(blocks) if n], []
+    while pending or ready:
+        if not ready:
+            t = max(t, pending[0][0])
+        while pending and pending[0][0] <= t:
+            i = heappop(pending)[1]
+            heappush(ready, (-(-(len(out[i]) + 1) * slots // shares[i]), i))
+        i = heappop(ready)[1]
+        out[i].append(t)
+        if len(out[i]) < blocks[i]:
+            heappush(pending, (len(out[i]) * slots // shares[i], i))
+        t += 1
+    return out
+
+
+def _sorted(rows: list, key: str) -> list:
+    """By a source, null first, as Spark sorts."""
+    return sorted(rows, key=lambda r: (r[key] is not None, r[key]) if r[key] is not None else (False,))
+
+
 def schedule(spark: SparkSession, sources: DataFrame, period: int = PERIOD) -> DataFrame:
-    """The slots of one period for sources (source, weight > 0): source, nth (block of the source in the period, from
+    """The slots of one period for sources (source, weight): source, nth (block of the source in the period, from
     0), share (its blocks in a period), slots (of a period), release, deadline and slot.
 
-    Weights are rounded to share / slots, at least one block each. Block nth may run from slot
-    floor(nth * slots / share) on and must be over by ceil((nth + 1) * slots / share); in each slot the block with the
-    earliest deadline of those released runs, ties by source. As the shares add up to the slots, every block meets
-    its window, and then at any time each source has had less than one block more or less than its share.
+    Weights are rounded to share / slots, at least one block each. At any time each source has had less than one block
+    more or less than its share.
 
     The result has `slots` rows: the period, or four times the number of sources if that is more."""
-    one = sources.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", F.col("weight").cast("double").alias("weight")))).alias("s"))
-    one = one.filter(F.size("s") > 0).withColumn("slots", F.greatest(F.lit(period), 4 * F.size("s")))
-    one = one.withColumn("total", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["weight"]))
-    # largest remainders, beyond one block for each
-    exact = F.transform("s", lambda x: x["weight"] / F.col("total") * (F.col("slots") - F.size("s")))
-    one = one.withColumn("exact", exact)
-    one = one.withColumn("rest", F.transform("exact", lambda x, i: F.struct((F.floor(x) - x).alias("r"), i.alias("i"))))
-    one = one.withColumn("left", (F.col("slots") - F.size("s") - F.aggregate("exact", F.lit(0).cast("long"), lambda a, x: a + F.floor(x))).cast("int"))
-    one = one.withColumn("lucky", F.transform(F.slice(F.array_sort("rest"), F.lit(1), F.col("left")), lambda x: x["i"]))
-    share = F.transform("exact", lambda x, i: (F.floor(x) + 1 + F.when(F.array_contains("lucky", i), 1).otherwise(0)).cast("int"))
-    one = materialize(one.select("s", "slots", share.alias("share")))
-    run = F.expr("""
-        aggregate(
-          sequence(0, slots - 1),
-          named_struct('had', transform(share, x -> 0), 'out', cast(array() AS array<struct<i:int,nth:int,slot:int>>)),
-          (acc, t) -> transform(
-            array(array_min(transform(share, (q, i) ->
-              CASE WHEN acc.had[i] < q AND acc.had[i] * bigint(slots) div q <= t
-                   THEN named_struct('d', ((acc.had[i] + 1) * bigint(slots) + q - 1) div q, 'i', i) END))),
-            b -> named_struct(
-              'had', transform(acc.had, (h, i) -> h + CASE WHEN i = b.i THEN 1 ELSE 0 END),
-              'out', concat(acc.out, array(named_struct('i', b.i, 'nth', acc.had[b.i], 'slot', t)))))[0],
-          acc -> acc.out)
-    """)
-    slots = materialize(one.select("s", "slots", "share", run.alias("run")))
-    x = slots.select("s", "slots", "share", F.explode("run").alias("x"))
-    q = F.expr("share[x.i]")
-    return materialize(x.select(
-        F.expr("s[x.i].source").alias("source"), F.col("x.nth").alias("nth"), q.alias("share"), F.col("slots").cast("long").alias("slots"),
-        F.expr("x.nth * bigint(slots) div share[x.i]").alias("release"),
-        F.expr("((x.nth + 1) * bigint(slots) + share[x.i] - 1) div share[x.i]").alias("deadline"), F.col("x.slot").cast("long").alias("slot"),
-    ))
+    found = _sorted(sources.select("source", F.col("weight").cast("double").alias("weight")).collect(), "source")
+    slots = max(period, 4 * len(found))
+    shares = shares_of([r.weight or 0.0 for r in found], slots) if found else []
+    rows = [(r.source, k, q, slots, k * slots // q, -(-(k + 1) * slots // q), slot) for r, q, at in zip(found, shares, earliest_deadline_first(shares, slots, shares), strict=True) for k, slot in enumerate(at)]
+    kinds = [StructField(n, LongType()) for n in ("nth", "share", "slots", "release", "deadline", "slot")]
+    return spark.createDataFrame(rows, StructType([StructField("source", sources.schema["source"].dataType), *kinds]))
+
+
+def _plan(spark: SparkSession, sources: DataFrame, block: int, period: int) -> tuple[DataFrame, int]:
+    """For sources (source, n, weight): of, share, part and at (the slots of PART blocks), and the slots that the shares
+    are of. They are 2^FINE; but if a source has no weight, a period's, of which it gets one."""
+    found = _sorted(sources.select("source", "n", F.col("weight").cast("double").alias("weight")).collect(), "source")
+    weights = [r.weight or 0.0 for r in found]
+    slots = 1 << FINE if all(w > 0 for w in weights) else max(period, 4 * len(found))
+    shares = shares_of(weights, slots) if found else []
+    run = earliest_deadline_first(shares, slots, [-(-r.n // block) for r in found])
+    names = StructType([StructField("of", sources.schema["source"].dataType), StructField("i", LongType()), StructField("share", LongType())])
+    named = spark.createDataFrame([(r.source, i, q) for i, (r, q) in enumerate(zip(found, shares, strict=True))], names)
+    parts = [(i, k // PART, at[k : k + PART]) for i, at in enumerate(run) for k in range(0, len(at), PART)]
+    table = pa.table({"j": pa.array([p[0] for p in parts], pa.int64()), "part": pa.array([p[1] for p in parts], pa.int64()), "at": pa.array([p[2] for p in parts], pa.list_(pa.int64()))})
+    return materialize(named.join(spark.createDataFrame(table), F.col("i") == F.col("j")).select("of", "share", "part", "at")), slots
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temper: float = TEMPER, block: int = BLOCK, period: int = PERIOD, chunk: int = CHUNK, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -67,10 +110,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temper: float
     the source), release, deadline, slot, place (within the block). Order by slot, place to read the mix.
 
     docs: doc_id, source and others. weights: source, weight (positive; a source without a weight gets none of the
-    others' share but the least, one block a period); or None for documents ** temper. A source's documents are put in
+    others' share but the least, one block a period, and all shares are then whole blocks of a period); or None for documents ** temper. A source's documents are put in
     a fixed shuffled order (by a hash of doc_id) and cut into blocks of `block`. Up to the slot at which the first
-    source runs out, each source's blocks so far differ from its weight times the slots by less than one. Then its
-    slots stay empty, and the others go on at their own rates; no row is dropped or repeated.
+    source runs out, each source's blocks so far differ from its weight times the slots by less than one, however many
+    slots or sources there are. Then its share of the slots stays empty, and the others go on at their own rates; no row
+    is dropped or repeated.
 
     A source may hold any share of the rows: it is numbered in chunks of about `chunk` rows by ranges of the hash, and
     only the chunks' counts are summed up. Null source is a source of its own; null doc_id is ordered like any other
@@ -80,11 +124,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temper: float
     sizes = materialize(docs.groupBy("source").agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if weights is None:
-        wanted = sizes.select("source", F.pow("n", F.lit(temper)).alias("weight"))
+        wanted = sizes.select("source", "n", F.pow("n", F.lit(temper)).alias("weight"))
     else:
         given = weights.select(F.col("source").alias("of"), "weight")
-        wanted = sizes.join(given, F.col("source").eqNullSafe(F.col("of")), "left").select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    plan = schedule(spark, wanted, period)
+        wanted = sizes.join(given, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    plan, slots = _plan(spark, wanted, block, period)
     bits = max(1, (max(total, 1) // chunk).bit_length())
     rows = rows.withColumn("chunk", F.shiftrightunsigned("h", 64 - bits))
     counts = rows.groupBy("source", "chunk").agg(F.count("*").alias("n"))
@@ -99,12 +143,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temper: float
     nth = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("h", "id"))
     ranked = rows.withColumn("nth_here", nth).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth_here") - 1).withColumn("block", F.expr(f"rank div {block}"))
-    shares = F.broadcast(plan.groupBy(F.col("source").alias("of")).agg(F.first("share").alias("share"), F.first("slots").alias("slots")))  # a row for each source
-    ranked = ranked.join(shares, F.col("source").eqNullSafe(F.col("of"))).withColumn("turn", F.expr("block div share")).withColumn("in_turn", F.expr("cast(block % share AS int)"))
-    plan = F.broadcast(plan.select(F.col("source").alias("p"), "nth", "release", "deadline", "slot"))  # `slots` rows
-    out = ranked.join(plan, F.col("source").eqNullSafe(F.col("p")) & (F.col("in_turn") == F.col("nth")))
-    start = F.col("turn") * F.col("slots")
-    return out.select("kept", "block", (start + F.col("release")).alias("release"), (start + F.col("deadline")).alias("deadline"), (start + F.col("slot")).alias("slot"), F.expr(f"cast(rank % {block} AS int)").alias("place"))
+    plan = bounded_broadcast(plan, 8 * PART + 128)
+    ranked = ranked.withColumn("of_part", F.expr(f"block div {PART}"))
+    out = ranked.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("of_part") == F.col("part")))
+    release, deadline = F.expr(f"block * {slots}L div share"), F.expr(f"((block + 1) * {slots}L + share - 1) div share")
+    return out.select("kept", "block", release.alias("release"), deadline.alias("deadline"), F.expr(f"at[cast(block % {PART} AS int)]").alias("slot"), F.expr(f"cast(rank % {block} AS int)").alias("place"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
