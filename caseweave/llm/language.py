@@ -84,14 +84,22 @@ class Model:
         counts = counts + SMOOTH
         self.log_p = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
         self.prior = np.log(np.maximum(documents, 1) / max(1, documents.sum()))
+        #: The least fit (see judge) of a text in each language: none, until calibrate() sets it.
+        self.least_fit = np.full(len(languages), -np.inf)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The language of each text, and the score. Log-likelihoods are divided by the square root of the number of
+        """The language of each text, and the score: the first two of judge()."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text, the score, and the mean log-likelihood of its longest n-grams in that language
+        (0 without a letter), which tells whether the language fits at all. For the score, log-likelihoods are divided by the square root of the number of
         n-grams: neighbouring n-grams overlap, so they aren't independent evidence, and the plain posterior of any
         longer text would be 1."""
         total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
+        longest, n_longest = np.zeros_like(total), np.zeros_like(n)
         for owner, grams in features(texts):
-            for buckets, cut in grams:
+            for size, (buckets, cut) in zip(GRAMS, grams, strict=True):
                 np.add.at(n, owner, np.diff(cut))
                 if not len(buckets):
                     continue
@@ -100,15 +108,49 @@ class Model:
                 for i, row in enumerate(self.log_p):
                     sums[some, i] = np.add.reduceat(row[buckets], cut[some], dtype=np.float64)
                 np.add.at(total, owner, sums)
+                if size == max(GRAMS):
+                    np.add.at(longest, owner, sums)
+                    np.add.at(n_longest, owner, np.diff(cut))
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         total += self.prior
         z = total / np.sqrt(np.maximum(n, 1))[:, None]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = total.argmax(axis=1)
         score = np.where(n > 0, p[np.arange(len(best)), best], 0.0)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score
+        fit = longest[np.arange(len(best)), best] / np.maximum(n_longest, 1)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score, fit
+
+
+def _sampled(labelled: DataFrame, sample: int) -> tuple[dict[str, int], DataFrame]:
+    """Documents of each language, and about `sample` of each by a hash of doc_id (lang, text, share)."""
+    labelled = ids_only(labelled, ("doc_id", "text", "lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = labelled.sparkSession.createDataFrame([(x, min(1 << 30, int(sample / n * (1 << 30)))) for x, n in sizes.items()], "lang string, share long")
+    return sizes, labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share"))
+
+
+def calibrate(model: Model, held: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model with its least fits set by labelled documents it hasn't seen (doc_id, text, lang; a sample as in fit):
+    halfway between the mean fit of a language's documents and that of n-grams drawn at random, which fall into any
+    bucket. A language without such a document has no least fit."""
+    if not model.languages:
+        return model
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _, fit = shared.value.judge(b.column("text").to_pylist())
+            same = [i for i, (x, y) in enumerate(zip(lang, b.column("lang").to_pylist(), strict=True)) if x == y]
+            yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in same], pa.string()), pa.array(fit[same], pa.float64())], ["lang", "fit"])
+
+    small_batches(held.sparkSession)
+    _, chosen = _sampled(held, sample)
+    typical = {r.lang: r.fit for r in chosen.select("lang", "text").mapInArrow(fits, "lang string, fit double").groupBy("lang").agg(F.avg("fit").alias("fit")).collect()}
+    chance = model.log_p.mean(axis=1, dtype=np.float64)
+    model.least_fit = np.array([(typical[x] + c) / 2 if x in typical else -np.inf for x, c in zip(model.languages, chance, strict=True)])
+    return model
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -117,14 +159,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     Fitted on a sample of about `sample` documents a language, chosen by a hash of doc_id (all where there are
     fewer): a documented bound on what is trained on, since more text doesn't change the n-grams' shares. Its counts,
     one row for each language and bucket, are summed by the executors before they come here."""
-    labelled = ids_only(labelled, ("doc_id", "text", "lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spark = labelled.sparkSession
+    sizes, chosen = _sampled(labelled, sample)
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0))
-    spark = labelled.sparkSession
-    shares = spark.createDataFrame([(x, min(1 << 30, int(sample / sizes[x] * (1 << 30)))) for x in languages], "lang string, share long")
-    chosen = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share"))
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +187,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, counts.reshape(len(languages), -1), np.array([min(sizes[x], sample) for x in languages]))
 
 
-def predict_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns named in keep, lang_pred and score (by these or other names) of each document (text; other columns aren't looked at).
+def predict_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in keep, lang_pred and score (by these or other names; with a third, also whether the language
+    fits the text as well as the model's least fit asks) of each document (text; other columns aren't looked at).
 
     lang_pred is a language of the model, or und (score 0) for a text that is null or has no letter, and for every
     text if the model has no language. Ties go to the language that is first by name. Whole texts of any length are
@@ -162,18 +202,21 @@ def predict_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = shared.value.predict([t or "" for t in b.column("text").to_pylist()])
+            lang, score, fit = shared.value.judge([t or "" for t in b.column("text").to_pylist()])
+            least = dict(zip(shared.value.languages, shared.value.least_fit.tolist(), strict=True))
+            fits = [x in least and f >= least[x] for x, f in zip(lang, fit.tolist(), strict=True)]
             kept = [b.column(i) for i, c in enumerate(b.schema.names) if c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(c for c in b.schema.names if c in keep), *names])
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(fits, pa.bool_())][: len(names)]], [*(c for c in b.schema.names if c in keep), *names])
 
     small_batches(spark)
-    return rows.mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
+    return rows.mapInArrow(run, ", ".join([fields, *(f"{n} {t}" for n, t in zip(names, ("string", "double", "boolean")))]))
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The rows of docs in a language of the model, with docs' own columns: not und, and of a score of `least` or more."""
-    found = predict_language(docs, model, tuple(docs.columns), ("__lang_pred", "__score"))
-    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs in a language of the model, with docs' own columns: not und, of a score of `least` or more,
+    and one that fits (calibrate)."""
+    found = predict_language(docs, model, tuple(docs.columns), ("__lang_pred", "__score", "__fits"))
+    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least) & F.col("__fits")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out() -> Column:
