@@ -20,7 +20,8 @@ _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 _DIGIT = frozenset("0123456789")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DIAL = re.compile(r"[\x20().0-9-]*+")
-_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++(?::[^\s/?#@]*+)?+@[A-Za-z0-9.-]+")
 
 
@@ -106,10 +107,17 @@ def _ibans(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         a = s - 2
         if a < end or a and text[a - 1].isalnum() or not (m := _ACCOUNT.match(text, a)):
             continue
-        plain = m[0].replace(" ", "")
-        if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
-            end = m.end()
-            yield a, end
+        # what follows may look like more of it: the longest whose check digits hold, of some 60 ends at most
+        for e in range(m.end(), a + 14, -1):
+            if text[e - 1] == " " or _ALNUM.match(text, e):
+                continue
+            plain = text[a:e].replace(" ", "")
+            if len(plain) < 15:
+                break
+            if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                end = e
+                yield a, end
+                break
 
 
 def _logins(text: str, schemes: list[int]) -> Iterator[tuple[int, int]]:
