@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SALTS, ids_only, materialize, ordered_id, read_table, salted
+from ._common import SALTS, ids_only, materialize, ordered_id, read_table
 
 #: The characters that don't count: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = " \t\n\x0b\x0c\r"
 #: Code points of the normalised text under the prefix hash.
 PREFIX = 256
-#: Buckets of the table that says which texts need a full hash: at most so many longs are broadcast.
-BUCKETS = 1 << 18
+#: Bits of the filter that says which texts need a full hash, for each surviving pair of length and prefix hash, and at
+#: most: 16 MB are broadcast. With more than some 10^7 pairs it fills up, and rows are hashed in full that needn't be.
+BITS_EACH = 8
+MOST_BITS = 1 << 27
+#: Bits of one row of the filter, as bitmap_construct_agg makes them.
+BITMAP = 1 << 15
 
 
 def normalised(text: Column) -> Column:
@@ -20,25 +24,46 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANK, "")
 
 
-def exact_dedup(docs: DataFrame, prefix: int = PREFIX, buckets: int = BUCKETS, salts: int = SALTS) -> DataFrame:
+def needed(pairs: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """A bitmap over the buckets of pairs (n, p): rows (part, bitmap), of at most most_bits bits together, and its bits.
+
+    The size follows the counted pairs, so that a lone row seldom falls into a bucket that is set."""
+    bits = min(most_bits, max(BITMAP, 1 << (BITS_EACH * pairs.count()).bit_length()))
+    at = _bucket(bits) + 1  # bitmaps count from one
+    return pairs.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")), bits
+
+
+def _bucket(bits: int) -> Column:
+    return F.pmod(F.xxhash64("n", "p"), F.lit(bits))
+
+
+def _is_set(bits: int) -> Column:
+    """Whether a row's bucket is set in the joined bitmap (null: no bucket of that part is)."""
+    at = F.pmod(_bucket(bits), F.lit(BITMAP))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
+def exact_dedup(docs: DataFrame, prefix: int = PREFIX, most_bits: int = MOST_BITS, salts: int = SALTS, digest: str | None = None) -> DataFrame:
     """Groups of equal normalised texts, and the row of each that stays.
 
     docs: doc_id, text and any other columns, which are ignored. Returns one row for each row of docs: doc_id,
-    keep_id (doc_id of the row that stays), group_size and kept.
+    keep_id (doc_id of the row that stays), group_size and kept, and under the name `digest`, if one is given, the
+    SHA-256 of every normalised text (which then is computed for all rows, so the last round saves no hashing).
 
     Three rounds, each over the survivors of the one before. Rows whose length no other row has are alone; of the
     rest, so are rows whose (length, hash of the first `prefix` code points) no other row has; a full hash (SHA-256)
     is computed only for what is left. No text is ever shuffled: the rows that need the full hash are found again in
-    a second scan through a table of at most `buckets` hash buckets of the surviving (length, prefix hash) pairs,
-    which therefore has a proven size and is broadcast. A bucket that a lone row falls into by chance costs one hash,
-    and changes no result.
+    a second scan through a filter of the surviving (length, prefix hash) pairs, sized by their number and broadcast
+    (`most_bits` bounds it). A lone row that the filter lets through costs one hash, and changes no result.
 
     A group that holds a third of all rows is dealt over `salts` keys: counted there, summed, and told its result
     there again, so no task sees it whole.
 
     Null text equals empty text, and all such rows are one group. Of equal texts the row with the most code points in
-    the original text stays; ties go to the smallest doc_id, null last. Rows that repeat one doc_id are one document
-    stored several times: each counts in group_size and each says kept if that document stays. Empty table: no rows.
+    the original text stays; ties go to the smallest doc_id, null last. Rows are never joined by doc_id: null and
+    repeated ids each return a row. Rows that repeat one doc_id are one document stored several times: each counts in
+    group_size and each says kept if that document stays. Empty table: no rows.
     """
     rows = ids_only(docs, ("doc_id", "text"))
     norm = normalised(F.col("text"))
@@ -49,10 +74,9 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, buckets: int = BUCKETS, s
     by_prefix = materialize(shape.groupBy("n", "p").agg(F.count("*").alias("c")))  # both rounds read it
     by_length = by_prefix.groupBy("n").agg(F.sum("c").alias("in_length"))
     # round 1 leaves lengths that two rows share, round 2 of these the prefixes that two rows share
-    shared = by_prefix.join(by_length.filter("in_length > 1"), "n", "left_semi").filter("c > 1")
-    bucket = F.pmod(F.xxhash64("n", "p"), F.lit(buckets))
-    wanted = shared.select(bucket.alias("b")).distinct().withColumn("full", F.lit(True))
-    # round 3: the full hash, read again from the input only where the bucket says so
+    shared = materialize(by_prefix.join(by_length.filter("in_length > 1"), "n", "left_semi").filter("c > 1").select("n", "p"))
+    wanted, bits = needed(shared, most_bits)
+    # round 3: the full hash, read again from the input only where the filter says so
     seen = rows.select(
         "doc_id",
         F.char_length(F.coalesce("text", F.lit(""))).alias("chars"),
@@ -60,26 +84,26 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, buckets: int = BUCKETS, s
         F.xxhash64(F.substring(norm, 1, prefix)).alias("p"),
         norm.alias("norm"),
     )
-    members = materialize(
-        seen.withColumn("b", bucket)
-        .join(F.broadcast(wanted), "b", "left")
-        .select("doc_id", "chars", F.when(F.col("full"), F.sha2("norm", 256)).alias("full_hash"))
-    )
-    alone = members.filter("full_hash IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    grouped = members.filter("full_hash IS NOT NULL").withColumn("salt", salted(F.col("doc_id"), salts=salts))
+    part = F.bitmap_bucket_number(_bucket(bits) + 1)
+    full = F.sha2("norm", 256) if digest else F.when(_is_set(bits), F.sha2("norm", 256))
+    marked = seen.withColumn("part", part).join(F.broadcast(wanted), "part", "left")
+    # the salt goes by a row's place, written down here, so that repeats of one row are dealt too
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    members = materialize(marked.select("doc_id", "chars", full.alias("digest"), _is_set(bits).alias("look"), salt.alias("salt")))
+    also = [F.col("digest").alias(digest)] if digest else []
+    alone = members.filter("NOT look").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *also)
+    grouped = members.filter("look")
     best = F.struct((-F.col("chars")).alias("less"), ordered_id(F.col("doc_id")).alias("of"))
-    parts = grouped.groupBy("full_hash", "salt").agg(F.min(best).alias("best"), F.count("*").alias("c"))
-    groups = parts.groupBy("full_hash").agg(F.min("best").alias("best"), F.sum("c").alias("group_size"))
-    told = parts.select("full_hash", "salt").join(groups, "full_hash")
-    out = grouped.join(told, ["full_hash", "salt"]).select("doc_id", F.col("best.of.id").alias("keep_id"), "group_size")
-    return alone.unionByName(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    parts = grouped.groupBy("digest", "salt").agg(F.min(best).alias("best"), F.count("*").alias("c"))
+    groups = parts.groupBy("digest").agg(F.min("best").alias("best"), F.sum("c").alias("group_size"))
+    told = parts.select("digest", "salt").join(groups, "digest")
+    out = grouped.join(told, ["digest", "salt"])
+    return alone.unionByName(out.select("doc_id", F.col("best.of.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.of.id")).alias("kept"), *also))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: the group it is in, and the SHA-256 of its normalised text for the digest column."""
-    docs = read_table(spark, sf_dir, "documents")
-    digest = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digest, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    """Every row of documents: the group it is in, and the SHA-256 of its normalised text."""
+    return exact_dedup(read_table(spark, sf_dir, "documents"), digest="text_sha256")
 
 
 ORACLE = r"""

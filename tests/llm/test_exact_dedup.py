@@ -28,7 +28,8 @@ def test_against_brute_force(spark):
     rows += [(1000, None), (1001, ""), (1002, " \x0b\x0c\r"), (1003, "x" * 300 + "a"), (1004, "x" * 300 + "b"), (1005, "x " * 300 + "b")]
     rows += [(None, "ab"), (None, "lone text"), (5, "again"), (5, "again"), (1006, "nb\xa0sp"), (1007, "nbsp")]
     assert run(spark, rows) == brute(rows)
-    assert run(spark, rows, prefix=1, buckets=2, salts=3) == brute(rows)
+    assert run(spark, rows, prefix=1, most_bits=1, salts=3) == brute(rows)
+    assert run(spark, rows, digest="d") == brute(rows)
 
 
 def test_empty(spark):
@@ -42,3 +43,22 @@ def test_query(spark, sf):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == sorted(brute(list(docs.items())))
     for r in rows:
         assert r.text_sha256 == sha256(re.sub(r"[\x20\x09-\x0D]", "", docs[r.doc_id]).encode()).hexdigest()
+
+
+def test_query_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a b"), (None, "ab"), (1, "ab"), (1, "ab"), (1, "other"), (2, None), (3, ""), (4, "lone"), (None, "lone too")] * 2
+    spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, text_sha256 int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = exact_dedup.op1_exact_dedup(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == brute(rows)
+    want = [sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest() for _, t in rows]
+    assert sorted(r.text_sha256 for r in got) == sorted(want)
+
+
+def test_the_filter_lets_through_what_was_put_in_and_little_else(spark):
+    pairs = spark.range(4000).selectExpr("cast(id % 700 as int) AS n", "id * 7 AS p")
+    filter_, bits = exact_dedup.needed(pairs)
+    assert bits == 32768
+    every = pairs.withColumn("old", exact_dedup.F.lit(True)).unionByName(spark.range(4000).selectExpr("cast(id % 700 as int) AS n", "-1 - id AS p", "false AS old"))
+    marked = every.withColumn("part", exact_dedup.F.bitmap_bucket_number(exact_dedup._bucket(bits) + 1)).join(filter_, "part", "left").withColumn("look", exact_dedup._is_set(bits))
+    got = {r.old: r.n for r in marked.filter("look").groupBy("old").agg(exact_dedup.F.count("*").alias("n")).collect()}
+    assert got[True] == 4000 and got[False] < 800
