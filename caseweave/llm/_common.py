@@ -53,13 +53,50 @@ def ids_only(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+#: Bits of a sieve for each hash put in, and at most: 16 MB are broadcast. A full sieve costs time, never rows.
+SIEVE_EACH = 8
+SIEVE_BITS = 1 << 27
+#: Bits of one row of a sieve, as bitmap_construct_agg makes them.
+BITMAP = 1 << 15
+
+
+class Sieve:
+    """A filter of the hashes (column h, long) of a table: every hash that was put in passes, others seldom.
+
+    Its size follows their counted number, up to `most` bits. Built by partial aggregates; JVM only."""
+
+    def __init__(self, hashes: DataFrame, most: int = SIEVE_BITS):
+        self.bits = min(most, max(BITMAP, 1 << (SIEVE_EACH * hashes.count()).bit_length()))
+        at = self._bucket(F.col("h")) + 1  # bitmaps count from one
+        self.table = hashes.groupBy(F.bitmap_bucket_number(at).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bitmap"))
+
+    def _bucket(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(max(BITMAP, self.bits)))
+
+    def marked(self, df: DataFrame, h: Column, name: str) -> DataFrame:
+        """df with a boolean column: whether h may be one of the hashes."""
+        at = F.pmod(self._bucket(h), F.lit(BITMAP))
+        byte = F.conv(F.hex(F.substring("__bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        there = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+        joined = df.withColumn("__own", F.bitmap_bucket_number(self._bucket(h) + 1)).join(F.broadcast(self.table), F.col("__own") == F.col("__part"), "left")
+        return joined.withColumn(name, there).drop("__own", "__part", "__bitmap")
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame, keep: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs whose doc_id is (or is not) among ids, with docs' own columns.
 
-    ids is one column doc_id; null matches null. It is counted, and broadcast only if small.
-    """
-    side = bounded_broadcast(ids.select(F.col("doc_id").alias("__id")), 128)
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), "left_semi" if keep else "left_anti")
+    ids is one column doc_id; null matches null. It is counted, and broadcast if small. Else rows first pass a sieve of
+    the ids, and only those that it holds back are shuffled to be compared; the others, whole texts mostly, stay where
+    they are."""
+    side = ids.select(F.col("doc_id").alias("__id"))
+    how = "left_semi" if keep else "left_anti"
+    if side.count() * 128 <= limit:
+        return docs.join(F.broadcast(side), docs["doc_id"].eqNullSafe(F.col("__id")), how)
+    h = F.xxhash64(F.col("doc_id"))
+    marked = Sieve(side.select(F.xxhash64("__id").alias("h"))).marked(docs, h, "__maybe")
+    maybe = marked.filter("__maybe").drop("__maybe")
+    exact = maybe.join(side, maybe["doc_id"].eqNullSafe(side["__id"]), how)
+    return exact if keep else exact.unionByName(marked.filter("NOT __maybe").drop("__maybe"))
 
 
 def tokenizer_path(name: str, folder: str = "/opt/tokenizers") -> str:

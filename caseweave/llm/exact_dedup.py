@@ -5,46 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SALTS, ids_only, materialize, ordered_id, read_table
+from ._common import SALTS, SIEVE_BITS, Sieve, ids_only, materialize, ordered_id, read_table
 
 #: The characters that don't count: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = " \t\n\x0b\x0c\r"
 #: Code points of the normalised text under the prefix hash.
 PREFIX = 256
-#: Bits of the filter that says which texts need a full hash, for each surviving pair of length and prefix hash, and at
-#: most: 16 MB are broadcast. With more than some 10^7 pairs it fills up, and rows are hashed in full that needn't be.
-BITS_EACH = 8
-MOST_BITS = 1 << 27
-#: Bits of one row of the filter, as bitmap_construct_agg makes them.
-BITMAP = 1 << 15
-
-
 def normalised(text: Column) -> Column:
     """Null as empty, without blanks."""
     return F.translate(F.coalesce(text, F.lit("")), BLANK, "")
 
 
-def needed(pairs: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
-    """A bitmap over the buckets of pairs (n, p): rows (part, bitmap), of at most most_bits bits together, and its bits.
-
-    The size follows the counted pairs, so that a lone row seldom falls into a bucket that is set."""
-    bits = min(most_bits, max(BITMAP, 1 << (BITS_EACH * pairs.count()).bit_length()))
-    at = _bucket(bits) + 1  # bitmaps count from one
-    return pairs.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")), bits
-
-
-def _bucket(bits: int) -> Column:
-    return F.pmod(F.xxhash64("n", "p"), F.lit(bits))
-
-
-def _is_set(bits: int) -> Column:
-    """Whether a row's bucket is set in the joined bitmap (null: no bucket of that part is)."""
-    at = F.pmod(_bucket(bits), F.lit(BITMAP))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
-
-
-def exact_dedup(docs: DataFrame, prefix: int = PREFIX, most_bits: int = MOST_BITS, salts: int = SALTS, digest: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, prefix: int = PREFIX, most_bits: int = SIEVE_BITS, salts: int = SALTS, digest: str | None = None) -> DataFrame:
     """Groups of equal normalised texts, and the row of each that stays.
 
     docs: doc_id, text and any other columns, which are ignored. Returns one row for each row of docs: doc_id,
@@ -75,7 +47,8 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, most_bits: int = MOST_BIT
     by_length = by_prefix.groupBy("n").agg(F.sum("c").alias("in_length"))
     # round 1 leaves lengths that two rows share, round 2 of these the prefixes that two rows share
     shared = materialize(by_prefix.join(by_length.filter("in_length > 1"), "n", "left_semi").filter("c > 1").select("n", "p"))
-    wanted, bits = needed(shared, most_bits)
+    pair = F.xxhash64("n", "p")
+    sieve = Sieve(shared.select(pair.alias("h")), most_bits)
     # round 3: the full hash, read again from the input only where the filter says so
     seen = rows.select(
         "doc_id",
@@ -84,12 +57,11 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, most_bits: int = MOST_BIT
         F.xxhash64(F.substring(norm, 1, prefix)).alias("p"),
         norm.alias("norm"),
     )
-    part = F.bitmap_bucket_number(_bucket(bits) + 1)
-    full = F.sha2("norm", 256) if digest else F.when(_is_set(bits), F.sha2("norm", 256))
-    marked = seen.withColumn("part", part).join(F.broadcast(wanted), "part", "left")
+    marked = sieve.marked(seen, pair, "look")
+    full = F.sha2("norm", 256) if digest else F.when(F.col("look"), F.sha2("norm", 256))
     # the salt goes by a row's place, written down here, so that repeats of one row are dealt too
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    members = materialize(marked.select("doc_id", "chars", full.alias("digest"), _is_set(bits).alias("look"), salt.alias("salt")))
+    members = materialize(marked.select("doc_id", "chars", full.alias("digest"), "look", salt.alias("salt")))
     also = [F.col("digest").alias(digest)] if digest else []
     alone = members.filter("NOT look").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *also)
     grouped = members.filter("look")

@@ -2,7 +2,10 @@ import random
 import re
 from hashlib import sha256
 
+from pyspark.sql import functions as F
+
 from caseweave.llm import exact_dedup
+from caseweave.llm._common import Sieve, keep_ids
 
 
 def brute(rows):
@@ -54,11 +57,21 @@ def test_query_with_null_and_repeated_ids(spark, tmp_path):
     assert sorted(r.text_sha256 for r in got) == sorted(want)
 
 
-def test_the_filter_lets_through_what_was_put_in_and_little_else(spark):
-    pairs = spark.range(4000).selectExpr("cast(id % 700 as int) AS n", "id * 7 AS p")
-    filter_, bits = exact_dedup.needed(pairs)
-    assert bits == 32768
-    every = pairs.withColumn("old", exact_dedup.F.lit(True)).unionByName(spark.range(4000).selectExpr("cast(id % 700 as int) AS n", "-1 - id AS p", "false AS old"))
-    marked = every.withColumn("part", exact_dedup.F.bitmap_bucket_number(exact_dedup._bucket(bits) + 1)).join(filter_, "part", "left").withColumn("look", exact_dedup._is_set(bits))
-    got = {r.old: r.n for r in marked.filter("look").groupBy("old").agg(exact_dedup.F.count("*").alias("n")).collect()}
+def test_the_sieve_lets_through_what_was_put_in_and_little_else(spark):
+    pairs = spark.range(4000).selectExpr("xxhash64(id) AS h")
+    sieve = Sieve(pairs)
+    assert sieve.bits == 32768
+    every = pairs.selectExpr("h", "true AS old").unionByName(spark.range(4000).selectExpr("xxhash64(-1 - id) AS h", "false AS old"))
+    got = {r.old: r.n for r in sieve.marked(every, F.col("h"), "look").filter("look").groupBy("old").agg(F.count("*").alias("n")).collect()}
     assert got[True] == 4000 and got[False] < 800
+    assert Sieve(pairs.limit(0)).marked(every, F.col("h"), "look").filter("look").isEmpty()
+
+
+def test_keep_ids_by_broadcast_and_by_sieve(spark):
+    docs = spark.createDataFrame([(i % 50 if i % 9 else None, f"t{i}", "x") for i in range(300)], "doc_id long, text string, __x string")
+    for ids in ([], [3, 4, None], list(range(0, 60, 2))):
+        side = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        for keep in (True, False):
+            want = sorted((tuple(r) for r in docs.collect() if (r.doc_id in ids) == keep), key=str)
+            a, b = (sorted((tuple(r) for r in keep_ids(docs, side, keep, limit).collect()), key=str) for limit in (1 << 20, -1))
+            assert a == b == want
