@@ -16,8 +16,10 @@ from ._words import IN_WORD, Words, grams, text_chunks
 SPAN = 10
 #: Words of a fingerprint. With windows of SPAN - K + 1 fingerprints, each shared span of SPAN words has a shared one.
 K = 5
-#: Bits of the sieve that documents' fingerprints pass before they are joined: 4 MB, whatever the benchmark's size.
-SIEVE_BITS = 1 << 25
+#: Bits of the sieve that documents' fingerprints pass before they are joined: for each fingerprint of the benchmark, at
+#: least, and at most (32 MB, which suit some 10^7 fingerprints; a fuller sieve only lets more through to the join).
+SIEVE_EACH = 32
+SIEVE_BITS = (1 << 20, 1 << 28)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _HIT = "h long, n int, pos int, at int, ctx string"
@@ -106,7 +108,7 @@ def item_fingerprints(items: DataFrame, span: int = SPAN, k: int = K) -> DataFra
     return ids_only(items, ("item_id", "text")).mapInArrow(run, f"item_id {kind}, h long, n int, at int, ctx string")
 
 
-def document_hits(docs: DataFrame, sieve: bytes, lengths: list[int], span: int = SPAN, k: int = K, bits: int = SIEVE_BITS) -> DataFrame:
+def document_hits(docs: DataFrame, sieve: bytes, lengths: list[int], bits: int, span: int = SPAN, k: int = K) -> DataFrame:
     """doc_id, n_words, and the fingerprints that pass the sieve, of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
     id_type = ids_only(docs, ("doc_id",)).schema[0].dataType.simpleString()
@@ -127,7 +129,7 @@ def document_hits(docs: DataFrame, sieve: bytes, lengths: list[int], span: int =
 
 
 def _extended(span: int, k: int):
-    """Extends the joined hits word by word: (row, start, end, items) of those that hold a whole window."""
+    """Extends the joined hits word by word: (row, start, end, window) of those that hold a whole window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,12 +154,12 @@ def _extended(span: int, k: int):
                     keep.append(i)
                     lo.append(pos - left)
                     hi.append(pos + k + right)
-            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(keep, pa.int64())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), b.column("items").take(pa.array(keep, pa.int64()))], ["row", "lo", "hi", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(keep, pa.int64())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), b.column("window").take(pa.array(keep, pa.int64()))], ["row", "lo", "hi", "window"])
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, bits: int = SIEVE_BITS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, bits: int | None = None) -> DataFrame:
     """Where benchmark items stand in documents: doc_id, n_words, spans (sorted, disjoint word ranges), items (sorted ids).
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Words are runs of letters and digits (all
@@ -165,10 +167,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     item if it is shorter; every document word inside any occurrence of a window is in a span.
 
     Both sides are winnowed alike, in one pass over each whole text. A document's fingerprints first pass a sieve of
-    `bits` bits made from the items' fingerprints (its size is fixed, so it is safe to send everywhere); the few that
-    are left carry the words around them, and are joined to the items' by hash in a plain shuffled join, so
+    `bits` bits made from the items' fingerprints (by default as many as their number asks for, within SIEVE_BITS, so it
+    is safe to send everywhere); the few that are left carry the words around them, and are joined to the items' by hash in a plain shuffled join, so
     neither side needs to be small, and no text is shuffled. Hits are then extended and checked word by word.
-    Equal contexts of many items are one row with a list of their ids.
+    Equal contexts of many items are one row with a number; hits carry that, and items are looked up by it once for
+    each document.
 
     Null or empty texts have no words, no spans and no items; an item without words matches nothing. Repeated rows
     each return a row; null ids are kept. No items or no documents: no hits, or no rows.
@@ -179,19 +182,25 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     small_batches(spark)
     prints = materialize(item_fingerprints(items, span, k))
     lengths = sorted(r.n for r in prints.filter("n > 0").select("n").distinct().collect())  # below span: few numbers
+    if bits is None:
+        bits = min(SIEVE_BITS[1], max(SIEVE_BITS[0], 1 << (SIEVE_EACH * prints.count()).bit_length()))
     bit = F.col("h").bitwiseAND(F.lit(bits - 1))
     words = prints.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("mask")).toPandas()
-    table = np.zeros(max(1, bits >> 6), dtype=np.int64)  # bits / 64 rows came at most, 4 MB in all
+    table = np.zeros(max(1, bits >> 6), dtype=np.int64)  # bits / 64 rows came at most
     table[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64)
-    found = materialize(document_hits(docs, table.tobytes(), lengths, span, k, bits))
+    found = materialize(document_hits(docs, table.tobytes(), lengths, bits, span, k))
     found = found.withColumn("row", F.monotonically_increasing_id())  # of a written table: fixed
-    test = prints.groupBy("h", "n", F.col("at").alias("item_at"), F.col("ctx").alias("item_ctx")).agg(F.collect_set("item_id").alias("items"))
+    context = ["h", "n", F.col("at").alias("item_at"), F.col("ctx").alias("item_ctx")]
+    windows = materialize(prints.select(*context).distinct().withColumn("window", F.monotonically_increasing_id()))
+    holders = prints.select("item_id", *context).join(windows, ["h", "n", "item_at", "item_ctx"]).select("window", "item_id").distinct()
     hits = found.select("row", F.explode("hits").alias("x")).select("row", "x.*")
-    joined = hits.join(test, ["h", "n"]).select("row", "n", "pos", "at", "ctx", "item_at", "item_ctx", "items")
+    joined = hits.join(windows, ["h", "n"]).select("row", "n", "pos", "at", "ctx", "item_at", "item_ctx", "window")
     kind = items.schema["item_id"].dataType.simpleString()
-    spans = joined.mapInArrow(_extended(span, k), f"row long, lo int, hi int, items array<{kind}>")
+    spans = materialize(joined.mapInArrow(_extended(span, k), "row long, lo int, hi int, window long"))
     ranges = F.sort_array(F.collect_set(F.struct("lo", "hi")))
-    per = spans.groupBy("row").agg(ranges.alias("r"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    named = spans.select("row", "window").distinct().join(holders, "window").select("row", "item_id").distinct()
+    named = named.groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    per = spans.groupBy("row").agg(ranges.alias("r")).join(named, "row", "left")
     empty = F.array().cast("array<struct<lo:int,hi:int>>")
     last = lambda acc: F.element_at(acc, -1)
     joined_up = F.aggregate(

@@ -15,7 +15,7 @@ from ._common import ids_only, read_table, small_batches
 #: Lengths of n-grams, and the bits of the hash they share.
 GRAMS = (1, 2, 3)
 BITS = 16
-#: Labelled documents of each language that the model is fitted on, about: a sample chosen by a hash of doc_id.
+#: Labelled documents of each language that the model is fitted on, about: a sample chosen by a hash of doc_id and text.
 SAMPLE = 3000
 #: Added to each count.
 SMOOTH = 0.5
@@ -124,11 +124,12 @@ class Model:
 
 
 def _sampled(labelled: DataFrame, sample: int) -> tuple[dict[str, int], DataFrame]:
-    """Documents of each language, and about `sample` of each by a hash of doc_id (lang, text, share)."""
+    """Documents of each language, and about `sample` of each by a hash of doc_id and text, so that null or repeated
+    ids don't come all or none (lang, text, share)."""
     labelled = ids_only(labelled, ("doc_id", "text", "lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     shares = labelled.sparkSession.createDataFrame([(x, min(1 << 30, int(sample / n * (1 << 30)))) for x, n in sizes.items()], "lang string, share long")
-    return sizes, labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share"))
+    return sizes, labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < F.col("share"))
 
 
 def calibrate(model: Model, held: DataFrame, sample: int = SAMPLE) -> Model:
@@ -156,7 +157,7 @@ def calibrate(model: Model, held: DataFrame, sample: int = SAMPLE) -> Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labelled documents (doc_id, text, lang; null lang is left out).
 
-    Fitted on a sample of about `sample` documents a language, chosen by a hash of doc_id (all where there are
+    Fitted on a sample of about `sample` documents a language, chosen by a hash (all where there are
     fewer): a documented bound on what is trained on, since more text doesn't change the n-grams' shares. Its counts,
     one row for each language and bucket, are summed by the executors before they come here."""
     spark = labelled.sparkSession
@@ -181,7 +182,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["at", "n"])
 
     small_batches(spark)
-    got = chosen.select("lang", "text").repartition(8).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = chosen.select("lang", "text").repartition(32).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) << BITS)
     counts[got["at"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
     return Model(languages, counts.reshape(len(languages), -1), np.array([min(sizes[x], sample) for x in languages]))
