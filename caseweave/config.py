@@ -29,7 +29,7 @@ SCHEMA_HOSTS = ("w3.org", "schemas.microsoft.com", "schemas.openxmlformats.org",
 # Public suffixes of two labels that are known here.
 TWO_LABEL_SUFFIXES = ("co.uk", "com.au", "co.nz", "com.br", "co.jp", "com.mx", "co.za", "com.sg", "com.tr")
 # Words that carry no meaning for comparing texts.
-STOP_WORDS = ("the", "and", "for", "you", "your", "with", "this", "that", "from", "have", "are", "was", "will", "has", "not", "but", "our", "can", "all", "please")
+STOP_WORDS = ("the", "and", "for", "this", "that", "with", "from", "your", "you", "are", "was", "has", "have", "will", "can", "please", "hello", "thanks", "thank", "regards")
 
 # Audit operations by what they do (lower case).
 DELETE_OPS = ("harddelete", "softdelete", "movetodeleteditems")
@@ -51,10 +51,23 @@ CLIENT_CLASSES = (
     ("rest", ("client=rest", "graph")),
 )
 # Sign-in error codes.
-BAD_PASSWORD_CODES = ("50126", "50053", "50055", "50056", "50057")
-MFA_GATE_CODES = ("50074", "50076", "50158", "50072", "500121")
+BAD_PASSWORD_CODES = ("50126", "50053", "50055", "50057")
+MFA_GATE_CODES = ("50074", "50076", "500121", "50079", "50072")
+# Phrases of texts that speak about lures, and the phrases of lures that mean nothing there.
+NEGATIVE_CONTEXT = (
+    "security awareness", "phishing simulation", "simulated phish", "test phish", "do not click any links", "this is a test", "report suspicious", "if you receive an email asking",
+    "we will never ask", "never ask you for your password", "how to spot", "example of a phishing", "training module", "security bulletin", "awareness training",
+)
+CONTEXT_SENSITIVE_TERMS = (
+    "verify your account", "verify your identity", "confirm your identity", "confirm your account", "reset your password", "account suspended", "account locked", "click here", "login", "log in", "sign in", "signin",
+    "password", "credentials", "unusual activity", "suspicious activity", "verify", "authenticate",
+)
+# Sizes at which exporters end a page, and clients that a user agent may name, in the order in which they are tried.
+PAGE_CAPS = (500, 999, 1000, 5000, 10000)
+AGENT_TOKENS = ("python-requests", "curl", "Go-http-client", "axios", "PowerShell", "okhttp", "Chrome", "Firefox", "Safari", "Edg", "Electron", "Mobile")
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class Thresholds:
     tier1: int = 12
@@ -68,8 +81,8 @@ class Thresholds:
     phrase_cap: float = 0.05
     rule_keyword_cap: float = 0.25
     campaign_threshold: float = 0.38
-    weak_bucket: int = 80
-    strong_bucket: int = 400
+    weak_bucket: int = 0  # no cap: with 80 and 400, links of larger keys are lost
+    strong_bucket: int = 0
     boiler_count: int = 5
     boiler_senders: int = 3
     boiler_days: float = 7.0

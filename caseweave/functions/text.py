@@ -71,6 +71,13 @@ def looks_alike(a: Column, b: Column, shortest: int = 5) -> Column:
     return (a != b) & (F.length(a) >= shortest) & ((homoglyph_canon(a) == homoglyph_canon(b)) | (near & (F.abs(F.length(a) - F.length(b)) <= 1)))
 
 
+def alike_keys(name: Column) -> Column:
+    """Keys of which two names that looks_alike() accepts share one: the canonical form, the name, and the name without
+    each one of its characters (names an edit apart share one of these). For an equi-join in place of all pairs."""
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.lit("n:"), F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("c:"), homoglyph_canon(name)), F.concat(F.lit("n:"), name)), cuts))
+
+
 def defang(text: Column) -> Column:
     """URLs and addresses that can't be clicked."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "(?i)http", "hxxp")
@@ -79,21 +86,33 @@ def defang(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """A signal text with its particulars masked: addresses, URLs, IPs, times, quotes, hex, numbers."""
+    """A signal's text with its particulars masked, in the order of TEMPLATE_RULES."""
     out = F.coalesce(text, F.lit(""))
     for pattern, mask in TEMPLATE_RULES:
         out = F.regexp_replace(out, pattern, mask)
     return clean(out)
 
 
+# What a signal may hold that identifies someone, and the masks, in the order in which they are applied.
 TEMPLATE_RULES = (
-    (r"[A-Za-z]+://[^ \t\n]+", "<url>"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<email>"),
-    (r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "<ip>"),
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:]+Z?)?", "<time>"),
-    (r"\"[^\"]*\"", "<quoted>"),
-    (r"[0-9a-f]{16,}", "<hex>"),
-    (r"[0-9]+", "<n>"),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<timestamp>"),
+    (r"\b\d{4}-\d{2}-\d{2}\b", "<date>"),
+    (r"\b\d{1,2}:\d{2}(?::\d{2})?\b", "<time>"),
+    (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "<email>"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"),
+    (r"\b[0-9A-Fa-f:]{2,}:[0-9A-Fa-f:]{2,}\b", "<ip6>"),
+    (r"https?://\S+", "<url>"),
+    (r"\b[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+\.[A-Za-z]{2,}\b", "<domain>"),
+    (r"\b[A-Za-z0-9\-]{2,}\.[A-Za-z]{2,24}\b", "<domain>"),
+    (r"[A-Za-z]:\\[^\s'\"]+", "<path>"),
+    (r"(?<![A-Za-z0-9])/[^\s'\"]{2,}", "<path>"),
+    (r"<[^@\s>]+@[^\s>]+>", "<message-id>"),
+    (r"'[^']{1,200}'", "'<value>'"),
+    (r"\"[^\"]{1,200}\"", "\"<value>\""),
+    (r"\b(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{12,}\b", "<value>"),
+    (r"\b[A-Fa-f0-9]{16,64}\b", "<hash>"),
+    (r"\((?=[^)\s]*(?:\d|[^)\s]{13}))[^)\s<]{2,}\)", "(<value>)"),
+    (r"(?<![A-Za-z0-9])\d[\d,]*", "<n>"),
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseweave import config as C
+from caseweave.functions.text import alike_keys, looks_alike, term_present
 
 
 def domain_baseline(messages: DataFrame, t: C.Thresholds = C.DEFAULTS) -> DataFrame:
@@ -73,3 +74,41 @@ def registration_age(domains: DataFrame, registered: DataFrame, reference_day: s
     """domain, age_days (whole days, 0 at least; null if unknown): domains (domain, day) against a table of registrations (domain, registered_day)."""
     r = registered.select(F.col("domain").alias("d"), "registered_day")
     return domains.join(r, domains["domain"] == r["d"], "left").select("domain", F.when(F.col("registered_day").isNotNull(), F.greatest(F.lit(0), F.col(reference_day) - F.col("registered_day"))).alias("age_days"))
+
+
+def lookalikes(names: DataFrame, known: DataFrame, shortest: int = 5) -> DataFrame:
+    """name, like_name: each of the names beside each known name (column name) that it looks like.
+
+    An equi-join over alike_keys(), not all pairs: a name has as many keys as characters and two more, whatever the
+    number of names. What shares a key is then compared."""
+    a = names.select("name").distinct().filter(F.length("name") >= shortest).select("name", F.explode(alike_keys(F.col("name"))).alias("key"))
+    b = known.select(F.col("name").alias("like_name")).distinct().select("like_name", F.explode(alike_keys(F.col("like_name"))).alias("key"))
+    return a.join(b, "key").filter(looks_alike(F.col("name"), F.col("like_name"), shortest)).select("name", "like_name").distinct()
+
+
+def term_frequencies(messages: DataFrame, text: Column, terms: tuple[str, ...]) -> DataFrame:
+    """term, hits, n: in how many messages each term stands, of how many. One pass, one row from each task."""
+    one = messages.agg(F.count("*").alias("n"), *[F.count_if(term_present(text, t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("hits")) for i, t in enumerate(terms)]))
+    return one.select("n", rows.alias("x")).select("x.term", "x.hits", "n")
+
+
+def known_contacts(messages: DataFrame) -> DataFrame:
+    """sender: each address that ever wrote."""
+    return messages.filter("sender <> ''").select("sender").distinct()
+
+
+def corpus_span(messages: DataFrame, sec: str = "sec") -> DataFrame:
+    """One row: messages with a time, first and last, and the whole days between them (null for fewer than two)."""
+    r = messages.agg(F.count(sec).alias("timed"), F.min(sec).alias("first_sec"), F.max(sec).alias("last_sec"))
+    return r.withColumn("days", F.when(F.col("timed") >= 2, F.expr("(last_sec - first_sec) div 86400")))
+
+
+def rule_keyword_fields(rules: DataFrame) -> DataFrame:
+    """keyword, fields: which fields each keyword of a mailbox rule was looked for in. rules: conditions (a map of field
+    to words) and keywords (words of a rule that says no field: subject and body, unless another rule says which)."""
+    said = rules.filter("size(conditions) > 0").select(F.explode("conditions").alias("field", "words")).select(F.lower("field").alias("field"), F.explode("words").alias("w"))
+    said = said.select(F.lower(F.trim("w")).alias("keyword"), "field").filter("keyword <> ''").groupBy("keyword").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    plain = rules.filter("coalesce(size(conditions), 0) <= 0").select(F.explode("keywords").alias("w")).select(F.lower(F.trim("w")).alias("keyword")).filter("keyword <> ''").distinct()
+    both = F.array(F.lit("body"), F.lit("subject"))
+    return said.join(plain.withColumn("open", F.lit(True)), "keyword", "full").select("keyword", F.coalesce("fields", both).alias("fields"))

@@ -31,13 +31,18 @@ def similarity(a: str, b: str, max_days: int = 30) -> Column:
     return F.round(F.least(F.lit(1.0), F.when(days > max_days, total * 0.5).otherwise(total)), 6)
 
 
-def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS) -> DataFrame:
+#: Members of a key that one task compares; a larger key is dealt over pairs of parts of this size.
+PART = 512
+
+
+def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS, part: int = PART) -> DataFrame:
     """Pairs (a, b: structs, a.path < b.path) of messages that share a key.
 
-    keys: name to (a column, or an array of keys; whether the key is weak). Weak keys of over `weak_bucket` messages
-    say nothing and are left out, as are empty keys; of strong ones the `strong_bucket` lowest paths are compared. The
-    counts come from a partial aggregate, and the lowest paths from a ranked limit that runs before the shuffle, so a key
-    with a third of all messages reaches no task whole."""
+    keys: name to (a column, or an array of keys; whether the key is weak). With t.weak_bucket and t.strong_bucket weak
+    keys of more messages say nothing and are left out, and of strong ones only so many lowest paths are compared; with
+    0 there is no cap, and all pairs of every key come back. Empty keys are left out. Members of a key of over `part`
+    messages are dealt by a hash of the path over parts, and each pair of parts meets as a key of its own, so a key
+    with a third of all messages is no task's own."""
     made = []
     for name, (col, weak) in keys.items():
         x = features.select("path", F.explode(F.array_distinct(col)).alias("key")).filter("key <> ''")
@@ -47,10 +52,21 @@ def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t
         rows = rows.union(x)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     good = sizes.filter(F.col("n") > 1).select(F.col("key").alias("k"), "n")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("path"))
-    members = rows.withColumn("r", rank).filter(F.col("r") <= t.strong_bucket)
-    members = members.join(good, F.col("key") == F.col("k")).filter(~F.col("weak") | (F.col("n") <= t.weak_bucket)).select("key", "path")
-    pairs = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.path") < F.col("y.path"))).select(F.col("x.path").alias("pa"), F.col("y.path").alias("pb")).distinct()
+    members = rows
+    if t.strong_bucket:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("path"))
+        members = rows.withColumn("r", rank).filter(F.col("r") <= t.strong_bucket)
+        good = good.withColumn("n", F.least("n", F.lit(t.strong_bucket)))
+    members = members.join(good, F.col("key") == F.col("k"))
+    if t.weak_bucket:
+        members = members.filter(~F.col("weak") | (F.col("n") <= t.weak_bucket))
+    members = members.withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    own, other = F.pmod(F.xxhash64("path", F.lit("part")), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = members.select("key", "path", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "path")
+    apart = (F.col("x.p") == F.col("x.q")) | (F.col("x.own") != F.col("y.own"))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    pairs = dealt.alias("x").join(dealt.alias("y"), same & apart & (F.col("x.path") < F.col("y.path"))).select(F.col("x.path").alias("pa"), F.col("y.path").alias("pb")).distinct()
     whole = features.select("path", F.struct(*features.columns).alias("f"))
     one = pairs.join(whole.select(F.col("path").alias("pa"), F.col("f").alias("a")), "pa")
     return one.join(whole.select(F.col("path").alias("pb"), F.col("f").alias("b")), "pb").select("a", "b")
@@ -84,3 +100,24 @@ def campaign_summary(members: DataFrame) -> DataFrame:
     out = out.withColumn("score", score.cast("long"))
     sure = F.when(F.col("score") >= 35, "high").when((F.col("score") >= 22) & (F.col("size") >= 2), "medium").when((F.col("size") >= 3) & F.col("precursor"), "medium").otherwise("low")
     return out.select("campaign", "size", "first_day", "last_day", "senders", "domains", "url_domains", "score", "origin", sure.alias("confidence"))
+
+
+def campaign_indicators(members: DataFrame) -> DataFrame:
+    """campaign, indicators: what speaks for each campaign, in a fixed order. members: campaign, path, sender, domain, score,
+    precursor, urls (domains), files (names). What repeats is counted by value before the campaigns are put together."""
+    def repeats(col: Column, name: str) -> DataFrame:
+        n = members.select("campaign", col.alias("v")).filter("v <> ''").groupBy("campaign", "v").agg(F.count("*").alias("c"))
+        return n.groupBy("campaign").agg((F.max("c") >= 2).alias(name))
+
+    base = members.groupBy("campaign").agg(
+        F.count("*").alias("size"), F.bool_or(F.exists("files", lambda f: f.rlike(r"[^/\\\\]\.[^./\\\\\s]+$"))).alias("by_file"), F.bool_or("precursor").alias("precursor"), F.max("score").alias("top"))
+    out = base
+    for name, col in (("senders", F.col("sender")), ("domains", F.col("domain")), ("urls", F.explode("urls"))):
+        out = out.join(repeats(col, name), "campaign", "left")
+    # The wording of the indicators.
+    said = [
+        (F.col("size") >= 3, F.concat(F.lit("Campaign contains "), F.col("size"), F.lit(" related messages"))), (F.col("senders"), F.lit("Repeated sender identity across campaign")), (F.col("domains"), F.lit("Repeated sender infrastructure/domain")),
+        (F.col("urls"), F.lit("Multiple messages share URL infrastructure")), (F.col("by_file"), F.lit("Campaign contains attachment-based delivery")), (F.col("precursor"), F.lit("Campaign contains a message identified as a possible precursor")),
+        (F.col("top") >= 15, F.lit("Campaign contains a high-confidence investigation candidate")),
+    ]
+    return out.select("campaign", F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), t) for c, t in said]), lambda x: x.isNotNull()).alias("indicators"))

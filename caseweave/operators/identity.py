@@ -22,9 +22,12 @@ ACTIVITIES = (
     ("add conditional access policy", "ca_policy", "survives", "survives"), ("disable strong authentication", "mfa_weakened", "survives", "survives"), ("set company information", "tenant_config", "survives", "survives"),
 )
 # Permission scopes by what they open.
-MAIL_SCOPES = ("mail.read", "mail.readwrite", "mail.send", "mail.readbasic", "mailboxsettings.readwrite", "imap.accessasuser.all", "pop.accessasuser.all", "smtp.send", "ews.accessasuser.all", "full_access_as_app", "full_access_as_user")
+MAIL_SCOPES = (
+    "mail.read", "mail.readbasic", "mail.readwrite", "mail.send", "mail.read.shared", "mail.readwrite.shared", "mail.send.shared", "mailboxsettings.read", "mailboxsettings.readwrite",
+    "imap.accessasuser.all", "pop.accessasuser.all", "smtp.send", "ews.accessasuser.all", "full_access_as_app",
+)
 HIGH_SCOPES = (
-    "files.readwrite.all", "files.read.all", "sites.readwrite.all", "sites.fullcontrol.all", "directory.read.all", "directory.readwrite.all", "directory.accessasuser.all", "user.read.all", "user.readwrite.all", "group.readwrite.all",
+    "files.read.all", "files.readwrite.all", "sites.read.all", "sites.readwrite.all", "sites.fullcontrol.all", "directory.read.all", "directory.readwrite.all", "directory.accessasuser.all", "user.read.all", "user.readwrite.all", "group.readwrite.all",
     "application.readwrite.all", "approleassignment.readwrite.all", "roleassignmentschedule.readwrite.directory", "privilegedaccess.readwrite.azuread", "chat.read", "chat.readwrite", "chatmessage.read",
 )
 DURABLE_SCOPES = ("offline_access",)

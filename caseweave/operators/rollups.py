@@ -39,20 +39,29 @@ def histogram(values: DataFrame, col: str, edges: tuple[int, ...] = (0, 1, 5, 10
     return values.groupBy(label.otherwise(f">={edges[-1]}").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantiles(values: DataFrame, col: str, qs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+def quantiles(values: DataFrame, col: str, qs: tuple[float, ...] = (0.5, 0.9, 0.99), bins: int = 4096) -> DataFrame:
     """min, max, mean and exact quantiles by floor rank: the value at place floor(q * (n - 1)).
 
-    No task sorts all values: they are counted by value, ranks come from sums over the distinct values' ranges."""
+    No task sorts all values: they are counted by value; approximate quantiles of the distinct values, which outliers
+    don't move, cut them into up to `bins` ranges of about as many; only the ranges' counts meet, and only those that
+    hold a wanted rank are put in order."""
     v = values.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    lo_hi = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    b = v.crossJoin(F.broadcast(lo_hi)).withColumn("bin", F.floor(width * 4096).cast("long"))
-    bins = b.groupBy("bin").agg(F.sum("c").alias("in_bin"))
-    before = bins.select("bin", F.coalesce(F.sum("in_bin").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 4,097 rows at most
-    run = F.sum("c").over(Window.partitionBy("bin").orderBy("v"))
-    ranked = b.join(F.broadcast(before), "bin").withColumn("upto", F.col("before") + run)
+    whole = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.percentile_approx("v", [i / bins for i in range(1, bins)], 4 * bins).alias("cuts"))
+    whole = whole.withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
+    # the cuts are a few thousand: a binary search would need a function of its own, so a range starts at each cut
+    starts = whole.select(F.explode(F.concat(F.array("lo"), F.col("cuts"))).alias("start")).distinct()
+    ends = starts.select("start", F.lead("start").over(Window.orderBy("start")).alias("end"))  # `bins` rows at most
+    ranged = v.join(F.broadcast(ends), (F.col("v") >= F.col("start")) & (F.col("end").isNull() | (F.col("v") < F.col("end"))))
+    sums = ranged.groupBy("start").agg(F.sum("c").alias("in_range"))
+    before = sums.select("start", "in_range", F.coalesce(F.sum("in_range").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = whole.select("lo", "hi", "n", "mean")
+    ranks = F.array(*[F.floor(F.lit(q) * (F.col("n") - 1)) for q in qs])
+    wanted = before.crossJoin(F.broadcast(total)).filter(F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("in_range"))))
+    run = F.sum("c").over(Window.partitionBy("start").orderBy("v"))
+    ranked = ranged.select("v", "c", "start").join(F.broadcast(wanted.select("start", "before")), "start").withColumn("upto", F.col("before") + run)
     picks = [F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col("v"))).alias(f"p{int(q * 100)}") for q in qs]
-    return ranked.agg(F.first("lo").alias("min"), *picks, F.first("hi").alias("max"), F.round(F.first("mean"), 2).alias("mean"))
+    got = ranked.crossJoin(F.broadcast(total)).agg(F.first("lo").alias("min"), *picks, F.first("hi").alias("max"), F.round(F.first("mean"), 2).alias("mean"))
+    return got
 
 
 def entity_graph(edges: DataFrame, k: int = 150) -> DataFrame:
@@ -65,10 +74,28 @@ def entity_graph(edges: DataFrame, k: int = 150) -> DataFrame:
     return nodes.select(F.lit("node").alias("kind"), "a", F.lit("").alias("b"), "n").unionByName(links.select(F.col("type").alias("kind"), "a", "b", "n"))
 
 
-def evidence_chain(shared: DataFrame) -> DataFrame:
-    """source, target: each message and the next that shares an indicator. shared: relation, indicator, path."""
-    nxt = F.lead("path").over(Window.partitionBy("relation", "indicator").orderBy("path"))
-    return shared.select("relation", "indicator", "path").distinct().withColumn("target", nxt).filter("target IS NOT NULL").select("relation", "indicator", F.col("path").alias("source"), "target")
+def evidence_chain(shared: DataFrame, span: int = 4096) -> DataFrame:
+    """source, target: each message and the next that shares an indicator. shared: relation, indicator, path.
+
+    An indicator of over `span` messages is cut into ranges of paths, at approximate quantiles of its own; each range
+    is chained by itself, and its last message to the first of the next range."""
+    key = ["relation", "indicator"]
+    x = shared.select(*key, "path").distinct()
+    size = x.groupBy(*key).agg(F.count("*").alias("n"))
+    hot = size.filter(F.col("n") > span).select(*[F.col(k).alias(f"__{k}") for k in key], F.ceil(F.col("n") / span).cast("int").alias("parts"))
+    # paths of any type have an order but no quantiles: a sample's order statistics, one for each range, cut them
+    own = [F.col(k) == F.col(f"__{k}") for k in key]
+    some = x.join(hot, own).withColumn("h", F.xxhash64("path")).filter(F.pmod("h", F.lit(span // 16)) == 0)
+    nth = F.row_number().over(Window.partitionBy("__relation", "__indicator").orderBy("path"))
+    cuts = some.withColumn("nth", nth).filter(F.col("nth") % 16 == 0).groupBy("__relation", "__indicator").agg(F.array_sort(F.collect_list("path")).alias("cuts"))
+    ranged = x.join(cuts, own, "left").withColumn("range", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("path"))), F.lit(0))).select(*key, "path", "range")
+    nxt = F.lead("path").over(Window.partitionBy(*key, "range").orderBy("path"))
+    firsts = ranged.groupBy(*key, "range").agg(F.min("path").alias("head"))
+    heads = firsts.withColumn("follow", F.lead("head").over(Window.partitionBy(*key).orderBy("range"))).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("range").alias("_range"), "follow")
+    one = ranged.withColumn("target", nxt)
+    last = one.filter("target IS NULL").join(heads, [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("range") == F.col("_range")]).withColumn("target", F.col("follow"))
+    out = one.filter("target IS NOT NULL").select(*key, "path", "target").unionByName(last.select(*key, "path", "target").filter("target IS NOT NULL"))
+    return out.select(*key, F.col("path").alias("source"), "target")
 
 
 def _bits(path, digits: int) -> Column:

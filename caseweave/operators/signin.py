@@ -19,6 +19,18 @@ def filled(col: str) -> Column:
     return F.nullif(F.trim(F.col(col)), F.lit(""))
 
 
+def short_agent(agent: Column, width: int = 60) -> Column:
+    """What a user agent says of its client: from the first of the known names that it holds (as tried in order), else
+    from its start, `width` characters; `?` for none."""
+    ua = F.coalesce(F.nullif(agent, F.lit("")), F.lit("?"))
+    low, out = F.lower(ua), None
+    for t in C.AGENT_TOKENS:
+        at = F.instr(low, t.lower())
+        cut = F.substring(ua, at, F.lit(width))
+        out = F.when(at > 0, cut) if out is None else out.when(at > 0, cut)
+    return out.otherwise(F.substring(ua, 1, width))
+
+
 def is_device_code(transfer: Column, protocol: Column) -> Column:
     def low(c: Column) -> Column:
         return F.lower(F.trim(F.coalesce(c, F.lit(""))))
@@ -31,7 +43,7 @@ def device_code_groups(legs: DataFrame) -> DataFrame:
     or consistent. A differing agent is named but proves nothing."""
     g = legs.groupBy("corr").agg(
         F.min_by("user", F.struct("sec", "event_id")).alias("user"), F.count("*").alias("legs"),
-        *[F.count_distinct(filled(c)).alias(f"n_{c}") for c in ("ip", "country", "asn", "agent")],
+        *[F.count_distinct(filled(c)).alias(f"n_{c}") for c in ("ip", "country", "asn")], F.count_distinct(F.nullif(short_agent(filled("agent")), F.lit("?"))).alias("n_agent"),
         F.count_if("interactive").alias("interactive_legs"),
     )
     differs = F.filter(F.array(*[F.when(F.col(f"n_{c}") > 1, F.lit(t)) for c, t in (("ip", "IP"), ("country", "country"), ("asn", "ASN"), ("agent", "user agent"))]), lambda x: x.isNotNull())
@@ -42,11 +54,13 @@ def device_code_groups(legs: DataFrame) -> DataFrame:
 
 
 def user_profiles(signins: DataFrame) -> DataFrame:
-    """How often each user's successful sign-ins came from each network, country and agent: user, kind, value, seen, n."""
-    ok = signins.filter("ok AND user <> ''").select(F.lower("user").alias("user"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("asn", "country", "agent")])).alias("x"))
+    """How often each user's successful sign-ins came from each network, country and client (short_agent): user, kind,
+    value, seen, n (all of the user's successes)."""
+    values = {"asn": F.col("asn"), "country": F.col("country"), "agent": short_agent(F.col("agent"), 30)}
+    ok = signins.filter("ok AND user <> ''").select(F.lower("user").alias("user"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])).alias("x"))
     seen = ok.groupBy("user", "x.kind", "x.value").agg(F.count("*").alias("seen"))
     total = F.sum("seen").over(Window.partitionBy("user", "kind"))
-    return seen.withColumn("n", total).filter("value <> ''")
+    return seen.withColumn("n", total).filter("value NOT IN ('', '?')")
 
 
 def rare(seen: Column, n: Column, share: float = 0.05, floor: int = 2, history: int = 5) -> Column:
@@ -57,17 +71,17 @@ def rare(seen: Column, n: Column, share: float = 0.05, floor: int = 2, history:
 
 def aitm_scores(signins: DataFrame, floor: int = 6) -> DataFrame:
     """Score of each successful sign-in as an adversary in the middle: a token or claim instead of authentication, from
-    places and clients that are rare for the user. signins may have token_claim, single_factor (booleans) and risk."""
-    prof = user_profiles(signins)
-    out = signins.filter("ok").withColumn("key", F.lower("user"))
-    for kind in ("asn", "country", "agent"):
-        p = prof.filter(F.col("kind") == kind).select(F.col("user").alias(f"u_{kind}"), F.col("value").alias(f"v_{kind}"), F.col("seen").alias(f"seen_{kind}"), F.col("n").alias(f"n_{kind}"))
-        out = out.join(p, (F.col("key") == F.col(f"u_{kind}")) & (F.col(kind) == F.col(f"v_{kind}")), "left")
-    parts = [
-        F.when(F.col("token_claim"), 3), F.when(F.col("single_factor"), 2),
-        *[F.when((F.col(k) != "") & rare(F.col(f"seen_{k}"), F.col(f"n_{k}")), w) for k, w in (("asn", 3), ("country", 2), ("agent", 1))],
-        F.when(F.lower(F.trim("risk")).isin("medium", "high"), 2),
-    ]
+    places and clients that are rare for the user. Sign-ins by device code have rules of their own and are left out.
+    signins may have token_claim, single_factor (booleans), risk, transfer and protocol.
+
+    A user's profile is one row with a map for each kind, so every sign-in meets it in one join."""
+    prof = user_profiles(signins).groupBy("user").agg(F.max("n").alias("n"), *[F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("value", "seen")))).alias(f"p_{k}") for k in ("asn", "country", "agent")])
+    prof = prof.withColumnRenamed("user", "of")
+    have = set(signins.columns)
+    flow = is_device_code(F.col("transfer") if "transfer" in have else F.lit(""), F.col("protocol") if "protocol" in have else F.lit(""))
+    out = signins.filter(F.col("ok") & ~flow).withColumns({"key": F.lower("user"), "agent": short_agent(F.col("agent"), 30)}).join(prof, F.col("key") == F.col("of"), "left")
+    seldom = {k: (F.col(k) != "") & (F.col(k) != "?") & rare(F.try_element_at(F.col(f"p_{k}"), F.col(k)), F.col("n")) for k in ("asn", "country", "agent")}
+    parts = [F.when(F.col("token_claim"), 3), F.when(F.col("single_factor"), 2), F.when(seldom["asn"], 3), F.when(seldom["country"], 2), F.when(seldom["agent"], 1), F.when(F.lower(F.trim("risk")).isin("medium", "high"), 2)]
     score = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
     return out.select("event_id", "user", "ip", score.alias("score")).withColumn("indicated", F.col("score") >= floor)
 
@@ -86,15 +100,24 @@ def mfa_fatigue(signins: DataFrame, window_sec: int = 3600, least: int = 5) -> D
 def password_spray(signins: DataFrame, window_sec: int = 3600, least_users: int = 5, key: str = "ip") -> DataFrame:
     """Addresses from which wrong passwords hit many users within a trailing window: the most at once, and all failures.
 
-    Time is cut into buckets of the window's length. A failure is put into its own bucket and the next, where later ones look
-    back at it; so an address with a third of all failures is dealt over its buckets."""
+    Each failure says that its user counts from then to the window's end, or to the user's next failure: the intervals
+    of one user don't overlap, so the users at a time are a running sum of +1 and -1. Those are summed up by second
+    before they are put in order, and in order of time within spans of the window's length, so neither a hot address
+    nor a hot user brings more rows to a task than there are seconds in a window."""
     bad = signins.filter(one_of("code", C.BAD_PASSWORD_CODES) & (F.col(key) != "") & (F.col("user") != ""))
-    b = F.floor(F.col("sec") / window_sec)
-    spread = bad.select(key, F.lower("user").alias("user"), "sec", b.alias("own"), F.explode(F.array(b, b + 1)).alias("bucket"))
-    trail = Window.partitionBy(key, "bucket").orderBy("sec").rangeBetween(-window_sec, 0)
-    hit = spread.withColumn("users", F.size(F.collect_set("user").over(trail))).filter("own = bucket")
-    out = hit.groupBy(key).agg(F.max("users").alias("users_hit"), F.count("*").alias("failures"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
-    return out.filter(F.col("users_hit") >= least_users).withColumn("users_hit", F.col("users_hit").cast("long"))
+    hits = bad.groupBy(key, F.lower("user").alias("user"), "sec").agg(F.count("*").alias("failures"))
+    total = hits.groupBy(key).agg(F.sum("failures").alias("failures"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
+    nxt = F.lead("sec").over(Window.partitionBy(key, "user").orderBy("sec"))
+    hits = hits.filter("sec IS NOT NULL").withColumn("to", F.least(F.col("sec") + window_sec + 1, F.coalesce(nxt, F.lit(1 << 60))))
+    steps = hits.select(key, F.explode(F.array(F.struct(F.col("sec").alias("at"), F.lit(1).alias("d")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.groupBy(key, "x.at").agg(F.sum("x.d").alias("d")).withColumn("span", F.floor(F.col("at") / window_sec))
+    spans = steps.groupBy(key, "span").agg(F.sum("d").alias("d"))
+    before = F.coalesce(F.sum("d").over(Window.partitionBy(key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col(key).alias("__k"), F.col("span").alias("__s"), before.alias("before"))
+    run = F.sum("d").over(Window.partitionBy(key, "span").orderBy("at"))
+    at_once = steps.withColumn("run", run).join(spans, (F.col(key) == F.col("__k")) & (F.col("span") == F.col("__s")))
+    most = at_once.groupBy(key).agg(F.max(F.col("before") + F.col("run")).alias("users_hit"))
+    return total.join(most.filter(F.col("users_hit") >= least_users), key).select(key, "users_hit", "failures", "first_sec", "last_sec")
 
 
 def legacy_auth(signins: DataFrame, affected: tuple[str, ...], attacker_ips: tuple[str, ...], client_app: str = "client_app") -> DataFrame:
@@ -126,13 +149,22 @@ def single_leg_scores(legs: DataFrame, floor: int = 6) -> DataFrame:
     return s.select("corr", "app", score.alias("score")).withColumn("indicated", F.col("score") >= floor)
 
 
-def page_cap(file_counts: DataFrame, caps: tuple[int, ...] = (500, 999, 1000, 5000, 10000)) -> DataFrame:
-    """One row: whether an export looks cut at a page size: all files but the last (by name) have exactly one count that is a cap, and
-    the last has no more. file_counts: file, n."""
-    r = file_counts.agg(F.count("*").alias("files"), F.sum("n").alias("records"), F.max("n").alias("largest"), F.max_by("n", "file").alias("last"), F.count_if(F.col("n") == F.lit(0)).alias("empty"))
-    full = file_counts.crossJoin(F.broadcast(r.select("largest"))).agg(F.count_if(F.col("n") == F.col("largest")).alias("full"))
-    cut = F.col("largest").isin(*caps) & (F.col("full") >= F.greatest(F.col("files") - 1, F.lit(1)))
-    return r.crossJoin(full).select("files", "records", "largest", "full", cut.alias("suspected"))
+def page_cap(file_counts: DataFrame, caps: tuple[int, ...] = C.PAGE_CAPS, share: float = 0.8) -> DataFrame:
+    """One row: whether an export looks cut at a page size (the cap that most files have). file_counts: file, n (by name).
+
+    Suspected are two files or more that all have the cap; or `share` of them, none larger, unless the only other one is
+    the last: an export by pages ends on a short one. One file alone proves nothing. Without files: no row."""
+    by_size = file_counts.filter("n > 0").groupBy("n").agg(F.count("*").alias("files"), F.max("file").alias("last"), F.min("file").alias("first"))
+    row = F.struct("files", (-F.col("n")).alias("n"))
+    r = by_size.agg(
+        F.sum("files").alias("files"), F.sum(F.col("n") * F.col("files")).alias("records"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.max("last").alias("last"),
+        F.max(F.when(F.col("n").isin(*caps), row)).alias("cap"), F.collect_list(F.when(F.col("files") == 1, F.struct("n", "last"))).alias("single"),
+    ).filter("files > 0")
+    r = r.withColumns({"page_cap": F.coalesce(-F.col("cap.n"), F.lit(0)), "files_at_cap": F.coalesce("cap.files", F.lit(0))})
+    every = (F.col("page_cap") > 0) & (F.col("files_at_cap") == F.col("files"))
+    nearly = (F.col("page_cap") > 0) & (F.col("files_at_cap") >= F.greatest(F.lit(2.0), share * F.col("files"))) & (F.col("largest") == F.col("page_cap"))
+    last_short = (F.col("files") - F.col("files_at_cap") == 1) & F.exists("single", lambda x: (x["n"] != F.col("page_cap")) & (x["last"] == F.col("last")))
+    return r.select("files", "records", "smallest", "largest", "page_cap", "files_at_cap", every.alias("all_at_cap"), ((every & (F.col("files") >= 2)) | (~every & nearly & ~last_short)).alias("suspected"))
 
 
 def token_replay(audit: DataFrame, signins: DataFrame, token_ops: tuple[str, ...], least: int = 3) -> DataFrame:

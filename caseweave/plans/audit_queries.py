@@ -55,11 +55,11 @@ SELECT ip, count(*) AS events, count(DISTINCT actor) AS users, min(sec) AS first
 
 
 def client_profile(spark, d):
-    return O.client_profile(A.audit(spark, d).filter("k % 3 = 0 OR ip LIKE '%.3'"), IPS)
+    return O.client_profile(A.audit(spark, d), IPS)
 
 
 CLIENT_PROFILE = f"""WITH {AUDIT_BASE}, c AS (SELECT ip, CASE WHEN client_info = '' THEN 'unknown' WHEN contains(lower(client_info), 'restsystem') THEN 'system'
-  WHEN contains(lower(client_info), 'outlook mobile') THEN 'mobile' WHEN contains(lower(client_info), 'client=owa') THEN 'owa' ELSE 'other' END AS class FROM v_audit WHERE k % 3 = 0 OR ip LIKE '%.3')
+  WHEN contains(lower(client_info), 'outlook mobile') THEN 'mobile' WHEN contains(lower(client_info), 'client=owa') THEN 'owa' ELSE 'other' END AS class FROM v_audit)
 SELECT ip, count(*) AS events, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, bool_or(class NOT IN ('system', 'unknown')) AS person_client,
   bool_and(class IN ('system', 'unknown')) AND bool_or(class = 'system') AS system_only, ip IN {ATTACKERS} AS is_attacker FROM c GROUP BY ip"""
 

@@ -33,11 +33,10 @@ FREQUENT_SENDERS = f"WITH {CORRESPONDENCE} SELECT sender, count(*) AS n FROM v_c
 
 
 def internal_domains(spark, d):
-    return B.internal_domains(A.correspondence(spark, d).filter("message % 3 = 0 OR sender_domain < 'NATION_2'"), "recipient")
+    return B.internal_domains(A.correspondence(spark, d), "recipient")
 
 
-INTERNAL_DOMAINS = f"""WITH {CORRESPONDENCE}, v AS (SELECT * FROM v_corr WHERE message % 3 = 0 OR sender_domain < 'NATION_2')
-SELECT sender_domain AS domain FROM v GROUP BY 1 HAVING count(*) >= 2 UNION SELECT recipient FROM v GROUP BY 1 HAVING count(*) >= 3"""
+INTERNAL_DOMAINS = f"""WITH {CORRESPONDENCE} SELECT sender_domain AS domain FROM v_corr GROUP BY 1 HAVING count(*) >= 2 UNION SELECT recipient FROM v_corr GROUP BY 1 HAVING count(*) >= 3"""
 
 
 def dominant_recipient(spark, d):
@@ -56,10 +55,10 @@ SENDER_RECIPIENT_PAIRS = f"WITH {CORRESPONDENCE} SELECT lower(sender) AS sender,
 
 
 def sending_ip_anomaly(spark, d):
-    return B.sending_ip_anomaly(A.audit(spark, d).filter("k < 30"))
+    return B.sending_ip_anomaly(A.audit(spark, d).withColumn("ip", F.concat_ws(".", "ip", "k")))
 
 
-SENDING_IP_ANOMALY = f"""WITH {AUDIT_BASE}, p AS (SELECT actor, ip, count(*) AS seen FROM v_audit WHERE k < 30 GROUP BY actor, ip)
+SENDING_IP_ANOMALY = f"""WITH {AUDIT_BASE}, p AS (SELECT actor, ip || '.' || k AS ip, count(*) AS seen FROM v_audit GROUP BY 1, 2)
 SELECT actor, ip, seen FROM p WHERE seen <= 1 AND actor IN (SELECT actor FROM p GROUP BY actor HAVING sum(seen) >= 3 AND count(*) > 1)"""
 
 
@@ -147,10 +146,11 @@ MESSAGE_EVENT_JOIN = f"""WITH {AUDIT_BASE}, {MESSAGES} SELECT path, count(*) AS
 
 
 def deleted_absent(spark, d):
-    return J.deleted_absent(A.audit(spark, d), A.messages(spark, d).filter("path % 2 = 0"))
+    """A corpus that lacks mail, as one does after deletion: that of every sender but the English ones."""
+    return J.deleted_absent(A.audit(spark, d), A.messages(spark, d).filter("sender LIKE 'en@%'"))
 
 
-DELETED_ABSENT = f"""WITH {AUDIT_BASE}, {MESSAGES} SELECT message_id, count(*) AS n, message_id IN (SELECT message_id FROM v_msg WHERE path % 2 = 0) AS present FROM v_audit WHERE op_lower IN {text(C.DELETE_OPS)} GROUP BY message_id"""
+DELETED_ABSENT = f"""WITH {AUDIT_BASE}, {MESSAGES} SELECT message_id, count(*) AS n, message_id IN (SELECT message_id FROM v_msg WHERE sender LIKE 'en@%') AS present FROM v_audit WHERE op_lower IN {text(C.DELETE_OPS)} GROUP BY message_id"""
 
 
 def attacker_authorship(spark, d):
@@ -224,11 +224,11 @@ x AS (SELECT a.*, f.path AS original, f.sha AS original_sha, CASE WHEN a.day < 1
 
 def message_trace_gap(spark, d):
     t = A.audit(spark, d).filter("op_lower = 'send'").select("message_id", F.col("actor").alias("sender"), F.col("ip").alias("recipient"), "sec")
-    return J.trace_gap(t, A.messages(spark, d).filter("path % 2 = 0"), ("user1", "USER2", "user3"), 19725 * 86400)
+    return J.trace_gap(t, A.messages(spark, d).filter("sender LIKE 'en@%'"), ("user1", "USER2", "user3"), 19725 * 86400)
 
 
 MESSAGE_TRACE_GAP = f"""WITH {AUDIT_BASE}, {MESSAGES} SELECT replace(replace(message_id, '<', ''), '>', '') AS id, actor AS sender, ip AS recipient, sec FROM v_audit
-WHERE op_lower = 'send' AND actor IN ('user1', 'user2', 'user3') AND sec >= {19725 * 86400} AND message_id NOT IN (SELECT message_id FROM v_msg WHERE path % 2 = 0)"""
+WHERE op_lower = 'send' AND actor IN ('user1', 'user2', 'user3') AND sec >= {19725 * 86400} AND message_id NOT IN (SELECT message_id FROM v_msg WHERE sender LIKE 'en@%')"""
 
 
 def recipient_notification(spark, d):

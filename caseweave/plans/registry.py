@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOPICS = ("audit", "signin", "text", "mail", "thread", "score")
 #: Columns that the SQL makes of 32-bit literals.
 NARROW = {
-    "aitm_score": ("score",), "single_leg_scores": ("score",), "url_risk": ("risk",), "attachment_substitution": ("score",), "thread_precursor": ("bonus",), "thread_roots": ("steps",),
+    "aitm_score": ("score",), "page_cap_truncation": ("smallest", "largest", "page_cap"), "single_leg_scores": ("score",), "url_risk": ("risk",), "attachment_substitution": ("score",), "thread_precursor": ("bonus",), "thread_roots": ("steps",),
     "findings": ("seq", "weight"), "message_tiers": ("tier",), "tiering": ("tier",), "ioc_rollup": ("best_tier",), "top_domains": ("highest_tier",),
 }
 

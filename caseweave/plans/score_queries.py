@@ -66,12 +66,12 @@ def score_modifiers(spark, d):
     c = A.correspondence(spark, d)
     g = c.groupBy("sender").agg(F.count("*").alias("n"), F.count_if(F.col("auth") != "absent").alias("auth_seen"), F.count_if(F.col("auth") == "pass").alias("auth_pass"))
     state = F.when(F.col("auth") == "pass", "aligned").when(F.col("auth") == "fail", "failed").otherwise("absent")
-    m = c.filter("sender LIKE '%5'").select(F.col("message").alias("path"), "sender", (F.col("message") % 23).alias("score"), state.alias("state"))
+    m = c.select(F.col("message").alias("path"), "sender", (F.col("message") % 23).alias("score"), state.alias("state"))
     return S.baseline_modifiers(m.join(g.withColumn("n", F.when(F.col("n") > 8, F.col("n")).otherwise(F.col("n") % 3)), "sender")).select("path", "score", "delta", "final")
 
 
 SCORE_MODIFIERS = f"""WITH {CORRESPONDENCE}, g AS (SELECT sender, CASE WHEN count(*) > 8 THEN count(*) ELSE count(*) % 3 END AS n, count(*) FILTER (auth <> 'absent') AS seen, count(*) FILTER (auth = 'pass') AS pass FROM v_corr GROUP BY sender),
-m AS (SELECT message AS path, message % 23 AS score, auth, g.* FROM v_corr JOIN g USING (sender) WHERE sender LIKE '%5'),
+m AS (SELECT message AS path, message % 23 AS score, auth, g.* FROM v_corr JOIN g USING (sender)),
 x AS (SELECT path, score, CASE WHEN score <= 0 THEN 0 WHEN auth = 'pass' AND n >= 5 THEN -least(score // 2, 8) ELSE CASE WHEN auth = 'fail' THEN CASE WHEN seen >= 3 AND pass / seen >= 0.5 THEN 6 ELSE 5 END ELSE 0 END
   + CASE WHEN n < 2 THEN least(greatest(1, score // 3), 6) WHEN n >= 5 AND auth <> 'fail' THEN -least(score // 4, 4) ELSE 0 END END AS delta FROM m)
 SELECT path, score, CAST(delta AS BIGINT) AS delta, CASE WHEN score <= 0 THEN score ELSE greatest(0, score + delta) END AS final FROM x"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from caseweave import adapters as A
@@ -32,7 +34,7 @@ USER_PROFILES = f"""WITH {SIGNINS}, {_PROFILES} SELECT "user", kind, value, seen
 
 
 def aitm_score(spark, d):
-    s = A.signins(spark, d).withColumns({"token_claim": F.col("event_id") % 3 == 0, "single_factor": F.col("event_id") % 5 < 2, "risk": F.when(F.col("event_id") % 10 == 0, "High").otherwise("none")})
+    s = A.signins(spark, d).withColumns({"transfer": F.when(F.col("asn") == "3", "deviceCodeFlow").otherwise(""), "token_claim": F.col("event_id") % 3 == 0, "single_factor": F.col("event_id") % 5 < 2, "risk": F.when(F.col("event_id") % 10 == 0, "High").otherwise("none")})
     return S.aitm_scores(s)
 
 
@@ -40,7 +42,7 @@ AITM_SCORE = f"""WITH {SIGNINS}, {_PROFILES}, r AS (SELECT *, n >= 5 AND seen <=
 SELECT event_id, s."user", ip, score, score >= 6 AS indicated FROM (SELECT s.*, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN event_id % 5 < 2 THEN 2 ELSE 0 END
   + CASE WHEN a.rare THEN 3 ELSE 0 END + CASE WHEN c.rare THEN 2 ELSE 0 END + CASE WHEN g.rare THEN 1 ELSE 0 END + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS score
   FROM v_signin s LEFT JOIN r a ON a.kind = 'asn' AND a."user" = s."user" AND a.value = asn LEFT JOIN r c ON c.kind = 'country' AND c."user" = s."user" AND c.value = country
-  LEFT JOIN r g ON g.kind = 'agent' AND g."user" = s."user" AND g.value = agent WHERE ok) s"""
+  LEFT JOIN r g ON g.kind = 'agent' AND g."user" = s."user" AND g.value = agent WHERE ok AND asn <> '3') s"""
 
 
 def mfa_fatigue(spark, d):
@@ -85,22 +87,44 @@ SELECT corr, app, CASE WHEN app = 'app9' THEN least(raw, 5) ELSE raw END AS scor
 
 
 def page_cap_truncation(spark, d):
-    f = A.audit(spark, d).groupBy(F.col("day").alias("file")).agg(F.count("*").alias("n"))
-    return S.page_cap(f)
+    """Four exports, by the k of their events: one whole, one of full pages, one that ends on a short page, one file alone."""
+    k = F.col("k")
+    size = F.when(k % 4 == 3, 500).when((k % 4 == 2) & (k == 98), 312).when(k % 4 == 0, 100 + k).otherwise(1000)
+    one = A.audit(spark, d).groupBy("k").agg(F.lit(1).alias("one")).select((k % 4).alias("export"), F.when(k % 4 == 3, 3).otherwise(k).alias("file"), size.alias("n")).distinct()
+    return reduce(lambda x, y: x.unionByName(y), [S.page_cap(one.filter(F.col("export") == e)).withColumn("export", F.lit(e).cast("long")) for e in range(4)])
+
 
+PAGE_CAP_TRUNCATION = f"""WITH {SIGNINS}, f AS (SELECT DISTINCT k % 4 AS export, CASE WHEN k % 4 = 3 THEN 3 ELSE k END AS file, CASE WHEN k % 4 = 3 THEN 500 WHEN k = 98 THEN 312 WHEN k % 4 = 0 THEN 100 + k ELSE 1000 END AS n FROM v_audit),
+c AS (SELECT export, count(*) AS files, CAST(sum(n) AS BIGINT) AS records, min(n) AS smallest, max(n) AS largest, max(file) AS last FROM f GROUP BY export),
+p AS (SELECT export, n AS page_cap, count(*) AS files_at_cap, row_number() OVER (PARTITION BY export ORDER BY count(*) DESC, n) AS r FROM f WHERE n IN (500, 999, 1000, 5000, 10000) GROUP BY export, n),
+x AS (SELECT c.*, coalesce(page_cap, 0) AS page_cap, coalesce(files_at_cap, 0) AS files_at_cap FROM c LEFT JOIN p ON p.export = c.export AND r = 1),
+y AS (SELECT *, page_cap > 0 AND files_at_cap = files AS all_at_cap, files - files_at_cap = 1 AND (SELECT n FROM f WHERE f.export = x.export AND f.file = x.last) <> page_cap AS last_short FROM x)
+SELECT export, files, records, smallest, largest, page_cap, files_at_cap, all_at_cap, (all_at_cap AND files >= 2) OR (NOT all_at_cap AND page_cap > 0 AND files_at_cap >= greatest(2, 0.8 * files) AND largest = page_cap AND NOT last_short) AS suspected FROM y"""
 
-PAGE_CAP_TRUNCATION = """WITH f AS (SELECT epoch_us(ts) // 86400000000 AS file, count(*) AS n FROM events GROUP BY 1), r AS (SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS records, max(n) AS largest FROM f)
-SELECT files, records, largest, (SELECT count(*) FROM f WHERE n = largest) AS "full", largest IN (500, 999, 1000, 5000, 10000) AND (SELECT count(*) FROM f WHERE n = largest) >= greatest(files - 1, 1) AS suspected FROM r"""
+
+def _elsewhere(spark, d):
+    """All sign-ins, from addresses that overlap with the audit log's in part."""
+    return A.signins(spark, d).withColumn("ip", F.concat(F.lit("10.0."), "asn", F.lit("."), F.col("event_id") % 10))
 
 
 def token_replay(spark, d):
-    return S.token_replay(A.audit(spark, d).filter("k % 2 = 0"), A.signins(spark, d).filter("event_id % 100 = 1 AND sec > 1704200000"), ("mailitemsaccessed", "send"))
+    return S.token_replay(A.audit(spark, d), _elsewhere(spark, d), ("mailitemsaccessed", "send"))
 
 
-TOKEN_REPLAY = f"""WITH {SIGNINS}, s AS (SELECT * FROM v_signin WHERE event_id % 100 = 1 AND sec > 1704200000)
+TOKEN_REPLAY = f"""WITH {SIGNINS}, s AS (SELECT ok, sec, '10.0.' || asn || '.' || (event_id % 10) AS ip FROM v_signin)
 SELECT ip, count(*) AS events, count(*) FILTER (op_lower IN ('mailitemsaccessed', 'send')) AS token_events, min(sec) AS first_sec, max(sec) AS last_sec FROM v_audit
-WHERE k % 2 = 0 AND sec BETWEEN (SELECT min(sec) FROM s) AND (SELECT max(sec) FROM s) AND ip NOT IN (SELECT ip FROM s WHERE ok) GROUP BY ip
+WHERE sec BETWEEN (SELECT min(sec) FROM s) AND (SELECT max(sec) FROM s) AND ip NOT IN (SELECT ip FROM s WHERE ok) GROUP BY ip
 HAVING count(*) >= 3 AND count(*) FILTER (op_lower IN ('mailitemsaccessed', 'send')) > 0"""
 
-QUERIES = {f.__name__: f for f in (device_code_groups, user_profiles, aitm_score, mfa_fatigue, password_spray, legacy_auth, single_leg_scores, page_cap_truncation, token_replay)}
+
+def short_agents(spark, d):
+    """The client that each sign-in's agent names, over agents made of the event."""
+    kinds = ("Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 Chrome/120.0 Safari/537.36 Edg/120.0", "python-requests/2.31 CURL", "Mozilla/5.0 (iPhone) Mobile/15E148 Safari/604.1", "Outlook-iOS/2.0", "")
+    agent = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("event_id") % 5 + 1).cast("int"))
+    return A.signins(spark, d).select("event_id", S.short_agent(agent, 30).alias("client"))
+
+
+SHORT_AGENTS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Chrome/120.0 Safari/537.36 Edg' WHEN 1 THEN 'python-requests/2.31 CURL' WHEN 2 THEN 'Safari/604.1' WHEN 3 THEN 'Outlook-iOS/2.0' ELSE '?' END AS client FROM events"""
+
+QUERIES = {f.__name__: f for f in (device_code_groups, user_profiles, aitm_score, mfa_fatigue, password_spray, legacy_auth, single_leg_scores, page_cap_truncation, token_replay, short_agents)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

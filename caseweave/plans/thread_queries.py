@@ -74,7 +74,7 @@ _TERMS = "list_filter([" + ", ".join(f"CASE WHEN {_sql_term(t)} THEN '{t}' END"
 _PAIRS = f"""{MESSAGES}, f AS (SELECT path, sender, sender_domain AS domain, day, lower(trim(regexp_replace(regexp_replace(subject, '(?i)^(\\s*(re|fw|fwd)\\s*:\\s*)+', ''), '\\s+', ' ', 'g'))) AS subject,
   list_filter(list_distinct(regexp_extract_all(lower(subject), '[a-z0-9]{{3,}}')), lambda x: x NOT IN {_STOPS}) AS st, {_TERMS} AS terms FROM v_msg),
 k AS (SELECT path, 's' || subject AS key, false AS weak FROM f WHERE subject <> '' UNION ALL SELECT path, 'm' || sender, false FROM f UNION ALL SELECT path, 'd' || domain, true FROM f UNION ALL SELECT path, 't' || unnest(terms), true FROM f),
-n AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY path) AS r FROM k), g AS (SELECT key, path FROM n WHERE r <= 400 AND (NOT weak OR n <= 80)),
+n AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY path) AS r FROM k), g AS (SELECT key, path FROM n),
 pr AS (SELECT DISTINCT x.path AS a, y.path AS b FROM g x JOIN g y ON x.key = y.key AND x.path < y.path),
 j AS (SELECT pr.a, pr.b, fa.sender = fb.sender AS ss, fa.domain = fb.domain AS sd, abs(fa.day - fb.day) AS days, len(list_intersect(fa.terms, fb.terms)) AS st,
   CASE WHEN len(fa.st) = 0 OR len(fb.st) = 0 THEN 0.0 ELSE len(list_intersect(fa.st, fb.st)) / len(list_distinct(list_concat(fa.st, fb.st))) END AS jac FROM pr JOIN f fa ON fa.path = pr.a JOIN f fb ON fb.path = pr.b),

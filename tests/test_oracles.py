@@ -10,7 +10,7 @@ from caseweave.plans import registry
 
 ROOT = "/root/testdata"
 ONLY = [x for x in os.environ.get("ONLY", "").split(",") if x]
-NAMES = [n for n in registry.QUERIES if not ONLY or n in ONLY]
+NAMES = [n for n in registry.ORACLES if not ONLY or n in ONLY]
 
 
 def plain(v):
