@@ -35,18 +35,40 @@ def similarity(a: str, b: str, max_days: int = 30) -> Column:
 PART = 512
 
 
-def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS, part: int = PART) -> DataFrame:
+#: Of what two messages can share: the key's name, the feature, what each shared value adds to the similarity, and the most.
+SHARED = (("sender", "sender", 0.30, 0.30), ("domain", "domain", 0.12, 0.12), ("url", "urls", 0.15, 0.30), ("file", "files", 0.20, 0.20), ("hash", "hashes", 0.35, 0.35), ("term", "terms", 0.08, 0.25), ("recipient", "recipients", 0.10, 0.10))
+
+
+def _filled(features: DataFrame) -> Column:
+    """Which features a message has, as bits by their place in SHARED; the last bit is for words of the subject."""
+    kinds = dict(features.dtypes)
+    made = [F.coalesce(F.size(c) > 0 if kinds[c].startswith("array") else F.col(c) != "", F.lit(False)).cast("int") * (1 << i) for i, c in enumerate([*(x[1] for x in SHARED), "subject_tokens"])]
+    return sum(made, F.lit(0))
+
+
+def _bound(keys: dict) -> Column:
+    """The most that two messages' similarity can be, from the keys they share (n_ of each), days apart, and features."""
+    total = F.when(F.getbit("both", F.lit(len(SHARED))) == 1, 0.25).otherwise(0.0)
+    for i, (name, _, each, most) in enumerate(SHARED):
+        has = F.when(F.getbit("both", F.lit(i)) == 1, most).otherwise(0.0)
+        total = total + (F.least(F.lit(most), F.col(f"n_{name}") * each) if name in keys else has)
+    total = total + F.when(F.col("days") <= 1, 0.12).when(F.col("days") <= 3, 0.08).when(F.col("days") <= 7, 0.05).otherwise(0.0)
+    return F.when(F.col("days") > 30, total * 0.5).otherwise(total) + 1e-6
+
+
+def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS, part: int = PART, least: float = 0.0) -> DataFrame:
     """Pairs (a, b: structs, a.path < b.path) of messages that share a key.
 
     keys: name to (a column, or an array of keys; whether the key is weak). With t.weak_bucket and t.strong_bucket weak
     keys of more messages say nothing and are left out, and of strong ones only so many lowest paths are compared; with
     0 there is no cap, and all pairs of every key come back. Empty keys are left out. Members of a key of over `part`
     messages are dealt by a hash of the path over parts, and each pair of parts meets as a key of its own, so a key
-    with a third of all messages is no task's own."""
+    with a third of all messages is no task's own. What two messages share by keys bounds their similarity: pairs that
+    can't reach `least` go before any feature is fetched."""
     made = []
     for name, (col, weak) in keys.items():
-        x = features.select("path", F.explode(F.array_distinct(col)).alias("key")).filter("key <> ''")
-        made.append(x.select("path", F.concat(F.lit(f"{name}:"), "key").alias("key"), F.lit(weak).alias("weak")))
+        x = features.select("path", F.struct("day", _filled(features).alias("has")).alias("about"), F.explode(F.array_distinct(col)).alias("key")).filter("key <> ''")
+        made.append(x.select("path", "about", F.lit(name).alias("kind"), F.concat(F.lit(f"{name}:"), "key").alias("key"), F.lit(weak).alias("weak")))
     rows = made[0]
     for x in made[1:]:
         rows = rows.union(x)
@@ -62,11 +84,17 @@ def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t
         members = members.filter(~F.col("weak") | (F.col("n") <= t.weak_bucket))
     members = members.withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
     own, other = F.pmod(F.xxhash64("path", F.lit("part")), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.select("key", "path", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "path")
+    dealt = members.select("key", "kind", "path", "about", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", "kind", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "path", "about")
     apart = (F.col("x.p") == F.col("x.q")) | (F.col("x.own") != F.col("y.own"))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-    pairs = dealt.alias("x").join(dealt.alias("y"), same & apart & (F.col("x.path") < F.col("y.path"))).select(F.col("x.path").alias("pa"), F.col("y.path").alias("pb")).distinct()
+    both, days = F.col("x.about.has").bitwiseAND(F.col("y.about.has")), F.abs(F.col("x.about.day") - F.col("y.about.day"))
+    met = dealt.alias("x").join(dealt.alias("y"), same & apart & (F.col("x.path") < F.col("y.path")))
+    met = met.select(F.col("x.path").alias("pa"), F.col("y.path").alias("pb"), F.col("x.kind").alias("kind"), both.alias("both"), days.alias("days"))
+    pairs = met.groupBy("pa", "pb").agg(F.first("both").alias("both"), F.first("days").alias("days"), *[F.count_if(F.col("kind") == n).alias(f"n_{n}") for n in keys])
+    if least:
+        pairs = pairs.filter(_bound(keys) >= least)
+    pairs = pairs.select("pa", "pb")
     whole = features.select("path", F.struct(*features.columns).alias("f"))
     one = pairs.join(whole.select(F.col("path").alias("pa"), F.col("f").alias("a")), "pa")
     return one.join(whole.select(F.col("path").alias("pb"), F.col("f").alias("b")), "pb").select("a", "b")
@@ -74,7 +102,7 @@ def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t
 
 def campaign_links(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS) -> DataFrame:
     """a, b, similarity of pairs that reach the threshold."""
-    pairs = candidate_pairs(features, keys, t).withColumn("similarity", similarity("a", "b"))
+    pairs = candidate_pairs(features, keys, t, least=t.campaign_threshold).withColumn("similarity", similarity("a", "b"))
     return pairs.filter(F.col("similarity") >= t.campaign_threshold).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), "similarity")
 
 
