@@ -8,12 +8,14 @@ from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from caseweave import config as C
 from caseweave import sinks
+from caseweave.operators import report
 from caseweave.operators import scenario as S
 from caseweave.plans import case
-from caseweave.sources import exports, mail
+from caseweave.sources import evidence, mail
 
 
 def _moment(value: str | None) -> int | None:
@@ -35,11 +37,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json", help="folder for all sections as JSON lines")
     p.add_argument("--ioc", help="folder for the indicators as CSV")
     p.add_argument("--audit-log", help="unified audit log: CSV, JSON or JSON lines")
+    p.add_argument("--signin-logs", help="sign-in log: CSV, JSON or JSON lines")
+    p.add_argument("--evidence", help="folder of exports, told apart by name and columns; the logs above win")
+    p.add_argument("--config", help="JSON file of thresholds")
+    p.add_argument("--exposure-csv", help="folder for the messages that the attacker read, as CSV")
+    p.add_argument("--html", help="folder for the report as a page")
     p.add_argument("--scenario", choices=("auto", "ato", "impersonation"), default="auto")
     p.add_argument("--compromise-date", help="ISO time of the attacker's first known action")
     p.add_argument("--lookback-days", type=int, default=90)
-    p.add_argument("--campaign-threshold", type=float, default=C.DEFAULTS.campaign_threshold)
-    p.add_argument("--tier1-threshold", type=int, default=C.DEFAULTS.tier1)
+    p.add_argument("--campaign-threshold", type=float, help="similarity from which two messages are one campaign")
+    p.add_argument("--tier1-threshold", type=int, help="score from which an inbound message of the window is Tier 1")
     for name in ("impersonated", "fraud-account", "victim-domain", "attacker-ip", "attacker-address", "attacker-subject", "rule-keyword", "owner-ip"):
         p.add_argument(f"--{name}", action="append", help="may be repeated, or a list with commas")
     p.add_argument("--fail-on-tier", type=int, default=0, help="exit with 3 if a message is in this tier or a higher one")
@@ -53,14 +60,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         compromise_sec=_moment(a.compromise_date), lookback_days=a.lookback_days, scenario="" if a.scenario == "auto" else a.scenario, attacker_ips=_list(a.attacker_ip), attacker_addresses=_list(a.attacker_address),
         rule_keywords=_list(a.rule_keyword), fraud_accounts=_list(a.fraud_account), impersonated=_list(a.impersonated), subjects=tuple(a.attacker_subject or ()),
     )
-    t = replace(C.DEFAULTS, campaign_threshold=a.campaign_threshold, tier1=a.tier1_threshold)
+    said = {"campaign_threshold": a.campaign_threshold, "tier1": a.tier1_threshold}
+    t = replace(C.load(a.config) if a.config else C.DEFAULTS, **{k: v for k, v in said.items() if v is not None})
     read = mail.read_mbox if a.mail.lower().endswith((".mbox", ".mbx")) else mail.read_eml
-    audit = exports.read_audit(spark, a.audit_log) if a.audit_log else None
-    got = case.investigate(read(spark, a.mail), anchors, audit, _list(a.owner_ip), t, _list(a.victim_domain))
+    found = evidence.collect(spark, a.evidence, {"audit": a.audit_log, "signin": a.signin_logs})
+    got = case.investigate(read(spark, a.mail), anchors, found.sources.get("audit"), _list(a.owner_ip), t, _list(a.victim_domain), found.sources.get("signin"))
     if a.csv:
         sinks.write_messages_csv(got.messages, a.csv)
     if a.ioc:
         sinks.write_iocs_csv(got.iocs, a.ioc)
+    if a.exposure_csv and "exposure" in got.frames:
+        scope = got.exposure.select("message_id", F.col("reads").alias("accesses"), "first_sec", F.col("first_access").alias("access_type"), F.col("lower_bound").alias("throttled"), F.lit("").alias("client_ip"), F.lit("").alias("session_id"))
+        sinks.write_exposure_csv(report.exposure_inventory(scope, got.messages), a.exposure_csv)
+    if a.html:
+        sinks.write_html(report.report_subset(got.messages, got.verdict).select("path", "sec", "sender", "subject", "score", "tier", "confirmed"), a.html)
     if a.json:
         sinks.write_json({k: v for k, v in got.frames.items() if k not in ("messages",)}, a.json)
     got.tiers.groupBy("tier").count().orderBy("tier").show()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # Phrases of lures and their weights.
 PHISHING_TERMS = {
@@ -91,3 +91,18 @@ class Thresholds:
 
 
 DEFAULTS = Thresholds()
+
+
+def load(path: str) -> Thresholds:
+    """The thresholds with what a JSON file says in their place, at any depth; unknown names are refused."""
+    import json
+
+    def flat(x: dict) -> dict:
+        return {k: v for a, b in x.items() for k, v in (flat(b) if isinstance(b, dict) else {a: b}).items()}
+
+    with open(path, encoding="utf-8") as f:
+        said = flat(json.load(f))
+    known = {n: type(getattr(DEFAULTS, n)) for n in DEFAULTS.__dataclass_fields__}
+    if wrong := sorted(set(said) - set(known)):
+        raise ValueError(f"unknown settings: {', '.join(wrong)}")
+    return replace(DEFAULTS, **{k: known[k](v) for k, v in said.items()})

@@ -92,3 +92,13 @@ def folder_hint(path: Column) -> Column:
     for marker, kind in (("deleted items", "deleted"), ("trash", "deleted"), ("recoverable items", "deleted"), ("rss", "moved"), ("junk", "moved"), ("archive", "moved"), ("conversation history", "moved")):
         out = F.when(low.contains(marker), kind) if out is None else out.when(low.contains(marker), kind)
     return out.otherwise("")
+
+
+def fail_reason(detail: Column, most: int = 200) -> Column:
+    """Why authentication failed, in words: the failing mechanisms of auth_detail() with their reasons."""
+    said = []
+    for m in ("dmarc", "spf", "dkim", "compauth"):
+        d = F.try_element_at(detail, F.lit(m))
+        text = F.concat(F.lit(f"{m}="), d["result"], F.when(F.coalesce(d["reason"], F.lit("")) != "", F.concat(F.lit(" "), d["reason"])).otherwise(""))
+        said.append(F.when(d["result"].isin("fail", "softfail", "permerror", "temperror", "none"), text))
+    return F.substring(F.array_join(F.filter(F.array(*said), lambda x: x.isNotNull()), "; "), 1, most)

@@ -55,3 +55,17 @@ def base64_urls(text: Column) -> Column:
     runs = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), r"data:[a-z/+.-]+;base64,[A-Za-z0-9+/=]+", " "), F.lit(r"([A-Za-z0-9+/]{24,4096}={0,2})"), F.lit(1))
     plain = F.transform(F.filter(runs, lambda r: F.length(r) % 4 == 0), lambda r: F.coalesce(F.try_to_binary(r, F.lit("base64")).cast("string"), F.lit("")))
     return F.array_distinct(F.flatten(F.transform(plain, lambda p: F.regexp_extract_all(p, F.lit(r"(https?://[\x21-\x7E]+)"), F.lit(1)))))
+
+
+def threat_notes(attachments: Column) -> Column:
+    """What is dangerous about a message's attachments (filename, sniffed_type, flags), as sentences."""
+    def notes(a: Column) -> Column:
+        name = F.when(F.coalesce(a["filename"], F.lit("")) == "", "(unnamed)").otherwise(a["filename"])
+        rules = [
+            ("web page", F.concat(F.lit("web page in attachment "), name)), ("macro extension", F.concat(F.lit("macro-enabled attachment "), name)), ("right-to-left name", F.concat(F.lit("deceptively named attachment "), name)),
+            ("double extension", F.concat(F.lit("deceptively named attachment "), name)), ("content does not match the extension", F.concat(F.lit("attachment "), name, F.lit(" content is "), F.when(a["sniffed_type"] == "", "unexpected").otherwise(a["sniffed_type"]), F.lit(", not what its name claims"))),
+            ("executable in archive", F.concat(F.lit("archive "), name, F.lit(" contains executable/script files"))),
+        ]
+        return F.filter(F.array(*[F.when(F.array_contains(a["flags"], f), t) for f, t in rules]), lambda x: x.isNotNull())
+
+    return F.array_distinct(F.flatten(F.transform(attachments, notes)))

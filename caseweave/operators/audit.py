@@ -155,3 +155,14 @@ def rule_cleanup(created: DataFrame, current: DataFrame, removed: DataFrame) ->
     gone = made.join(current.select(key), "name", "left_anti")
     logged = removed.select(key).distinct().withColumn("logged", F.lit(True))
     return gone.join(logged, "name", "left").select("name", "creations", F.coalesce("logged", F.lit(False)).alias("removal_logged"))
+
+
+def subject_senders(events: DataFrame, subjects: tuple[str, ...], since_sec: int | None = None) -> DataFrame:
+    """ip, sends: addresses that sent a message under a subject that the investigator says is the attacker's, from the
+    compromise on (an unknown time counts). events: op_lower, sec, ip, subjects (array)."""
+    from caseweave.functions.text import normalize_subject
+
+    wanted = F.array(*[normalize_subject(F.lit(s)) for s in subjects if s.strip()]) if any(s.strip() for s in subjects) else F.array().cast("array<string>")
+    sent = events.filter(one_of("op_lower", C.SEND_OPS) & (F.lit(True) if since_sec is None else F.coalesce(F.col("sec") >= since_sec, F.lit(True))))
+    hit = sent.filter(F.arrays_overlap(F.transform("subjects", normalize_subject), wanted))
+    return hit.filter("ip <> ''").groupBy("ip").agg(F.count("*").alias("sends"))

@@ -97,3 +97,21 @@ def _by_path():
     from pyspark.sql.window import Window
 
     return Window.partitionBy("path")
+
+
+def prepare_bodies(messages: DataFrame, compromise_day: int | None = None, t: C.Thresholds = C.DEFAULTS) -> DataFrame:
+    """Messages (path, sender, day, body, ...) with body the sender's own text (no history, no signature, no block that the
+    corpus shows to be boilerplate; the body as it was if nothing is left), quoted, and burst: whether a block of it
+    belongs to a mass mailing.
+
+    Two passes: blocks are counted over the corpus by partial aggregates, and only the few that are boilerplate or a
+    burst come back to their messages."""
+    s = split_quoted(F.col("body"))
+    own = F.coalesce(F.nullif(strip_signature(s["own"]), F.lit("")), F.nullif(s["own"], F.lit("")), F.col("body"))
+    m = messages.withColumns({"own": own, "quoted": s["quoted"]})
+    x = exploded_blocks(m, "own")
+    kinds = classify_blocks(block_statistics(x, compromise_day), compromise_day is not None, t).filter("kind IS NOT NULL").select("hash", "kind")
+    hit = x.select("path", "block", "hash").join(kinds, "hash").groupBy("path").agg(F.collect_set(F.when(F.col("kind") == "boilerplate", F.col("block"))).alias("drop"), F.bool_or(F.col("kind") == "burst").alias("burst"))
+    out = m.join(hit.withColumnRenamed("path", "of"), F.col("path") == F.col("of"), "left")
+    less = F.aggregate(F.coalesce("drop", F.array().cast("array<string>")), F.col("own"), lambda text, b: F.replace(text, b, F.lit("")))
+    return out.withColumns({"body": F.coalesce(F.nullif(strip(less), F.lit("")), "own"), "burst": F.coalesce("burst", F.lit(False))}).drop("own", "drop", "of")

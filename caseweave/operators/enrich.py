@@ -59,9 +59,10 @@ def contact_names(messages: DataFrame) -> DataFrame:
 
 def display_name_spoof(messages: DataFrame, internal: DataFrame) -> DataFrame:
     """path, name: messages from outside under a name that an internal address (domain in internal) has used."""
-    inside = messages.join(F.broadcast(internal.select(F.col("domain").alias("d"))), F.col("sender_domain") == F.col("d"), "left_semi")
+    known = internal.select(F.col("domain").alias("d")).distinct()
+    inside = messages.join(known, F.col("sender_domain") == F.col("d"), "left_semi")
     names = contact_names(inside).select(F.col("name").alias("known"))
-    outside = messages.join(F.broadcast(internal.select(F.col("domain").alias("d"))), F.col("sender_domain") == F.col("d"), "left_anti").filter("sender_name LIKE '% %'")
+    outside = messages.join(known, F.col("sender_domain") == F.col("d"), "left_anti").filter("sender_name LIKE '% %'")
     return outside.withColumn("name", F.lower(F.trim("sender_name"))).join(names, F.col("name") == F.col("known"), "left_semi").select("path", "name")
 
 
@@ -98,10 +99,13 @@ def address_countries(activity: DataFrame, history: DataFrame, expected: tuple[s
 
 def config_drift(rules: DataFrame, recorded: DataFrame, internal: tuple[str, ...]) -> DataFrame:
     """name, external: concealing rules that nothing in the audit log explains by what they do. rules and recorded: name, forwards,
-    words, move_to; rules also conceals. Recorded rules are a few, and meet each rule once."""
-    r = F.broadcast(recorded.select(F.col("forwards").alias("rf"), F.col("words").alias("rw"), F.lower("move_to").alias("rm")))
-    same = F.arrays_overlap("forwards", "rf") | F.arrays_overlap("words", "rw") | ((F.coalesce("move_to", F.lit("")) != "") & (F.lower("move_to") == F.col("rm")))
-    left = rules.filter("conceals").join(r, F.coalesce(same, F.lit(False)), "left_anti")
+    words, move_to; rules also conceals. Rules meet by what they do (an address, a word, a folder), not all with all."""
+    none = F.array().cast("array<string>")
+    does = F.array_distinct(F.concat(*[F.transform(F.coalesce(c, none), lambda x, k=k: F.concat(F.lit(k), x)) for k, c in (("f:", F.col("forwards")), ("w:", F.col("words")), ("m:", F.filter(F.array(F.lower("move_to")), lambda x: x != "")))]))
+    keys = recorded.select(F.explode(does).alias("key")).distinct()
+    numbered = rules.filter("conceals").withColumn("__n", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rules.columns]))))
+    known = numbered.select("__n", F.explode(does).alias("key")).join(keys, "key", "left_semi").select("__n").distinct()
+    left = numbered.join(known, "__n", "left_anti")
     return left.select("name", F.exists("forwards", lambda a: ~F.substring_index(a, "@", -1).isin(*internal) if internal else F.lit(True)).alias("external"))
 
 

@@ -172,3 +172,57 @@ def geo_lookup(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     r = ranges.select(F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"), "country", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).alias("block"))
     x = rows.withColumn("_n", n)
     return x.join(r, (F.shiftright("_n", 16) == F.col("block")) & F.col("_n").between(F.col("r_lo"), F.col("r_hi")), "left").drop("_n", "r_lo", "r_hi", "block")
+
+
+def initiator(initiated_by: Column, actor: Column, ip: Column) -> Column:
+    """A struct actor, ip of a directory-audit record: of flat columns, of the object initiatedBy as JSON (a user, else an
+    application), or of its printed form."""
+    def of(path: str) -> Column:
+        return F.nullif(F.get_json_object(initiated_by, path), F.lit(""))
+
+    printed = F.nullif(F.regexp_extract(initiated_by, r"userPrincipalName=([^;,}\s]+)", 1), F.lit(""))
+    plain = F.when(~initiated_by.startswith("{") & ~initiated_by.startswith("@{"), F.nullif(initiated_by, F.lit("")))
+    who = F.coalesce(F.nullif(actor, F.lit("")), of("$.user.userPrincipalName"), of("$.user.displayName"), of("$.app.displayName"), printed, plain, F.lit(""))
+    return F.struct(who.alias("actor"), F.coalesce(F.nullif(ip, F.lit("")), of("$.user.ipAddress"), F.lit("")).alias("ip"))
+
+
+TARGETS = "array<struct<displayName:string,id:string,modifiedProperties:array<struct<newValue:string,oldValue:string>>>>"
+
+
+def targets(resources: Column) -> Column:
+    """A struct names (array), permission (text) of targetResources: JSON, else a plain text that is both. Of modified
+    properties only values are read: their names look like scopes and are none."""
+    parsed = F.from_json(resources, TARGETS)
+    names = F.filter(F.transform(parsed, lambda t: F.coalesce(F.nullif(t["displayName"], F.lit("")), F.nullif(t["id"], F.lit("")))), lambda n: n.isNotNull())
+    values = F.flatten(F.transform(parsed, lambda t: F.transform(F.coalesce(t["modifiedProperties"], F.array().cast("array<struct<newValue:string,oldValue:string>>")), lambda p: F.concat_ws(" ", p["newValue"], p["oldValue"]))))
+    text = F.trim(F.coalesce(resources, F.lit("")))
+    is_json = text.startswith("[")
+    plain = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(text, 1, 200)))
+    return F.struct(F.when(is_json, names).otherwise(plain).alias("names"), F.when(is_json, F.array_join(values, " ")).otherwise(text).alias("permission"))
+
+
+def timeline_rows(events: DataFrame) -> DataFrame:
+    """persistence() as rows of the timeline: sec, source, what, ref. Events without a time are left out."""
+    what = F.concat_ws(": ", "activity", F.nullif("target", F.lit("")))
+    return events.filter("sec IS NOT NULL").select("sec", F.lit("persistence").alias("source"), what.alias("what"), F.coalesce("actor", F.lit("")).alias("ref"))
+
+
+def drift_actions(rules: DataFrame, transport: DataFrame, granted: DataFrame) -> DataFrame:
+    """What the configuration shows and no log explains, as actions for remediation_plan(): source, kind, target, by_attacker,
+    sec, password, token, scope. rules: name, external; transport: name, redirects; granted: mailbox, user, external."""
+    keep = [F.lit(False).alias("by_attacker"), F.lit(None).cast("long").alias("sec"), F.lit("survives").alias("password"), F.lit("survives").alias("token"), F.lit("inferred").alias("scope")]
+    a = rules.select(F.lit("drift").alias("source"), F.lit("inbox_rule").alias("kind"), F.col("name").alias("target"), *keep)
+    b = transport.filter(F.size("redirects") > 0).select(F.lit("drift").alias("source"), F.lit("transport_rule").alias("kind"), F.col("name").alias("target"), *keep)
+    c = granted.filter("external").select(F.lit("drift").alias("source"), F.lit("delegation").alias("kind"), F.concat("user", F.lit(" -> "), "mailbox").alias("target"), *keep)
+    return a.unionByName(b).unionByName(c)
+
+
+def directory_stats(users: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row: users, enabled ones, addresses, distinct names, accepted domains. users: user_principal_name, display_name,
+    proxy_addresses, enabled (may be missing)."""
+    enabled = truthy(F.col("enabled")) if "enabled" in users.columns else F.lit(False)
+    mails = F.transform(F.split(F.lower(F.concat_ws(";", "user_principal_name", "proxy_addresses")), "[;,]"), lambda a: F.regexp_replace(F.trim(a), "^smtp:", ""))
+    known = users.select(F.explode(F.filter(mails, lambda a: a.contains("@"))).alias("a")).agg(F.count_distinct("a").alias("addresses"))
+    names = users.select(name_key(F.col("display_name")).alias("k")).filter("k <> ''").agg(F.count_distinct("k").alias("names"))
+    one = users.agg(F.count("*").alias("users"), F.count_if(enabled).alias("enabled"))
+    return one.crossJoin(known).crossJoin(names).crossJoin(domains.agg(F.count_distinct("domain").alias("accepted_domains")))

@@ -53,6 +53,28 @@ def device_code_groups(legs: DataFrame) -> DataFrame:
     return g.select("corr", "user", "legs", F.array_join(differs, ",").alias("differs"), verdict.alias("verdict"), split.alias("attributable"))
 
 
+def location(city: Column, country: Column) -> Column:
+    """city, country as far as they are known; `?` for neither."""
+    return F.coalesce(F.nullif(F.concat_ws(", ", F.nullif(city, F.lit("")), F.nullif(country, F.lit(""))), F.lit("")), F.lit("?"))
+
+
+def leg_rows(legs: DataFrame) -> DataFrame:
+    """Legs as reports show them: corr, time, interactive, ip, location, asn, client, app, requirement, token_type, ok."""
+    have = set(legs.columns)
+    city = F.col("city") if "city" in have else F.lit("")
+    when = F.date_format(F.timestamp_seconds("sec"), "yyyy-MM-dd HH:mm:ss")
+    return legs.select("corr", when.alias("time"), "interactive", F.coalesce(F.nullif("ip", F.lit("")), F.lit("?")).alias("ip"), location(city, F.col("country")).alias("location"), "asn", short_agent(F.col("agent")).alias("client"), F.coalesce(F.nullif("app", F.lit("")), F.lit("?")).alias("app"), "requirement", "token_type", "ok")
+
+
+def resolve_single_groups(groups: DataFrame, legs: DataFrame, attacker_ips: tuple[str, ...]) -> DataFrame:
+    """device_code_groups() with matched_ips: correlations of one leg, and of it only, are an attack if the audit log
+    knows one of their addresses as the attacker's."""
+    hit = legs.filter(one_of("ip", attacker_ips)).groupBy(F.col("corr").alias("of")).agg(F.array_sort(F.collect_set("ip")).alias("matched"))
+    g = groups.join(hit, F.col("corr") == F.col("of"), "left")
+    found = (F.col("verdict") == "single") & F.col("matched").isNotNull()
+    return g.withColumns({"verdict": F.when(found, "attack").otherwise(F.col("verdict")), "matched_ips": F.when(found, F.col("matched")).otherwise(F.array().cast("array<string>"))}).drop("of", "matched")
+
+
 def user_profiles(signins: DataFrame) -> DataFrame:
     """How often each user's successful sign-ins came from each network, country and client (short_agent): user, kind,
     value, seen, n (all of the user's successes)."""

@@ -40,3 +40,22 @@ def earliest_precursor(messages: DataFrame) -> DataFrame:
     top = F.greatest("same_day", "after")
     hit = m.filter(F.col("likely_precursor") & (top >= F.greatest(F.lit(10), F.col("score") - 1)))
     return hit.select("path", "day", "score", top.alias("followed_by")).orderBy("day", "path").limit(1)
+
+
+def shared_precursor(messages: DataFrame, strong: int = 35) -> DataFrame:
+    """One row, or none: the earliest message with telling evidence that shares a campaign, a URL's domain or a file's hash
+    with another, suspicious one: path, sec, evidence, confidence, shared_with (how many).
+
+    messages: path, sec, score, stage, campaign, domains, hashes, evidence (arrays). Suspicious are scores of `strong` and
+    more, and stages after first contact. Keys meet by an equi-join; of each key only the suspicious paths' number and
+    lowest two are carried, so a hot key costs one row."""
+    # Words of evidence that tells, and stages that are suspicious.
+    words = ("credential", "login", "phishing", "suspicious url", "impersonat", "attachment", "payment", "redirect", "punycode", "userinfo", "ip address")
+    stages = ("credential_harvest", "payment_request", "attachment_delivery", "suspicious_link")
+    telling = F.filter("evidence", lambda e: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.lower(e).contains(w)))
+    keys = F.array_distinct(F.concat(F.when(F.coalesce("campaign", F.lit("")) != "", F.array(F.concat(F.lit("c:"), "campaign"))).otherwise(F.array().cast("array<string>")), F.transform("domains", lambda d: F.concat(F.lit("d:"), d)), F.transform("hashes", lambda h: F.concat(F.lit("h:"), h))))
+    m = messages.select("path", "sec", telling.alias("evidence"), F.explode(keys).alias("key"), ((F.col("score") >= strong) | F.col("stage").isin(*stages)).alias("bad"))
+    by_key = m.filter("bad").groupBy("key").agg(F.count("*").alias("n"))
+    hit = m.filter(F.size("evidence") > 0).join(by_key, "key").withColumn("others", F.col("n") - F.col("bad").cast("long")).filter("others > 0")
+    one = hit.groupBy("path", "sec", "evidence").agg(F.max("others").alias("shared_with")).orderBy(F.asc_nulls_last("sec"), "path").limit(1)
+    return one.withColumn("confidence", F.when(F.size(F.array_distinct("evidence")) >= 2, "high").otherwise("medium"))

@@ -15,17 +15,19 @@ from caseweave.operators import audit as A
 from caseweave.operators import baseline as B
 from caseweave.operators import body as X
 from caseweave.operators import campaigns as K
+from caseweave.operators import enrich as E
 from caseweave.operators import graph as G
 from caseweave.operators import identity as I
 from caseweave.operators import joins as J
+from caseweave.operators import report as Q
 from caseweave.operators import rollups as R
 from caseweave.operators import scenario as S
 from caseweave.operators import scoring as P
 from caseweave.operators import threads as T
+from caseweave.plans import signin_case as N
 
 # Mail hosts that anyone can use.
 FREE_MAIL = ("gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "aol.com", "icloud.com", "proton.me", "protonmail.com")
-AWARENESS = ("phishing awareness", "security awareness", "training", "simulated phishing", "do not click")
 
 
 @dataclass
@@ -71,13 +73,13 @@ def _term_rules(messages: DataFrame, cap: float) -> list[P.Rule]:
     """A rule for each phrase, its weight lowered where the phrase is common in this corpus: one pass counts all phrases."""
     low = F.concat_ws("\n", "subject", "body")
     terms = list(C.PHISHING_TERMS.items())
-    row = messages.agg(F.count("*").alias("n"), *[F.count_if(text.term_present(low, t)).alias(f"t{i}") for i, (t, _) in enumerate(terms)]).first()
-    aware = S.any_of(low, AWARENESS)
+    share_of = {r.term: r.hits / r.n if r.n else 0.0 for r in B.term_frequencies(messages, low, tuple(C.PHISHING_TERMS)).collect()}
+    aware = S.any_of(low, C.NEGATIVE_CONTEXT)
     rules = []
-    for i, (t, w) in enumerate(terms):
-        share = row[f"t{i}"] / row["n"] if row["n"] else 0.0
+    for t, w in terms:
+        share = share_of[t]
         scaled = round(w * cap / share) if share > cap else w
-        rules.append((f"Phrase: {t}", "language", "body", text.term_present(low, t), F.when(aware, 0).otherwise(scaled)))
+        rules.append((f"Phrase: {t}", "language", "body", text.term_present(low, t), F.when(aware, 0).otherwise(scaled) if t in C.CONTEXT_SENSITIVE_TERMS else F.lit(scaled)))
     return rules
 
 
@@ -102,16 +104,22 @@ def base_rules(messages: DataFrame, t: C.Thresholds) -> list[P.Rule]:
     ]
 
 
-def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: DataFrame | None = None, owner_ips: tuple[str, ...] = (), t: C.Thresholds = C.DEFAULTS, victim_domains: tuple[str, ...] = ()) -> Case:
-    """A case from messages (as caseweave.sources.mail reads them) and, if there, an audit log (caseweave.sources.exports.read_audit).
+def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: DataFrame | None = None, owner_ips: tuple[str, ...] = (), t: C.Thresholds = C.DEFAULTS, victim_domains: tuple[str, ...] = (), signins: DataFrame | None = None, persistence: DataFrame | None = None) -> Case:
+    """A case from messages (as caseweave.sources.mail reads them) and, if there, an audit log and sign-ins (as
+    caseweave.sources.exports reads them), and persistence events (identity.persistence).
 
-    Frames: findings, scores, threads, campaigns, message_events, tiers, verdict, shortlist, iocs, timeline, statistics."""
+    Frames: findings, scores, threads, campaigns, campaign_indicators, message_events, tiers, verdict, shortlist, iocs,
+    timeline, statistics; of an audit log also sessions, ip_activity, exposure, deleted, completeness; of sign-ins those of
+    signin_case.analyze() under signin_ names; of persistence events remediation."""
     anchors = anchors or S.Anchors()
     if audit is not None:
         audit = materialize(audit.withColumns({"us": F.col("sec") * 1_000_000, "event_id": F.monotonically_increasing_id()}))
         anchors = attribute(audit, anchors, owner_ips)
-    own = F.coalesce(F.nullif(X.split_quoted(F.col("body"))["own"], F.lit("")), F.col("body"))
-    m = materialize(messages.withColumns({"body": own, "sec": F.unix_seconds("arrival_ts"), "day": F.floor(F.unix_seconds("arrival_ts") / 86400), "sender": F.col("sender_email")}))
+        if anchors.subjects:  # who sent what the investigator names is the attacker too: a few addresses
+            more = tuple(r.ip for r in A.subject_senders(audit, anchors.subjects, anchors.compromise_sec).collect() if r.ip not in owner_ips)
+            anchors = anchors.merged(S.Anchors(attacker_ips=more))
+    timed = messages.withColumns({"sec": F.unix_seconds("arrival_ts"), "day": F.floor(F.unix_seconds("arrival_ts") / 86400), "sender": F.col("sender_email")})
+    m = materialize(X.prepare_bodies(timed, anchors.compromise_sec // 86400 if anchors.compromise_sec is not None else None, t))
     out: dict[str, DataFrame] = {"messages": m}
 
     base = materialize(P.findings(m, base_rules(m, t)))
@@ -138,22 +146,40 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
     folder = auth.folder_hint(F.col("path"))
     flags = {
         "self_spoofing": A.one_of("sender_domain", victims) & (F.col("auth_state") == "failed"), "auth_anomaly": F.coalesce(F.col("enforces"), F.lit(False)) & (F.col("auth_state") == "failed"), "lookalike": F.lit(False), "reply_to_mismatch": (domain_of(normalize_email(F.col("reply_to"))) != "") & (domain_of(normalize_email(F.col("reply_to"))) != F.col("sender_domain")),
-        "sending_ip_anomaly": F.lit(False), "display_name_spoof": F.lit(False), "deleted": folder == "deleted", "moved": folder == "moved", "rule_target": S.any_of(body, anchors.rule_keywords) if anchors.rule_keywords else F.lit(False),
+        "deleted": folder == "deleted", "moved": folder == "moved", "rule_target": S.any_of(body, anchors.rule_keywords) if anchors.rule_keywords else F.lit(False),
         "attachment_credential": _has("web page"), "attachment_other": F.exists("attachments", lambda a: F.size(a["flags"]) > 0), "login_url": F.exists("urls", lambda u: url.risk_rules(u)["auth_path"][0]), "has_url": F.size("urls") > 0, "first_contact": F.coalesce("first_contact", F.lit(False)), "established": F.coalesce("established", F.lit(False)),
     }
-    lookalike = _lookalikes(domains, victims)
+    lookalike = _lookalikes(domains, victims, m, t)
     f = scored.withColumns({**flags, "inbound": inbound | A.one_of("sender_domain", victims) & (F.col("auth_state") == "failed"), "text": body, "anchors": F.size(hits)}).drop("lookalike").join(lookalike, "sender_domain", "left").withColumn("lookalike", F.coalesce("lookalike", F.lit(False)))
+    internal = B.internal_domains(m.select("sender_domain", F.explode_outer("recipients").alias("r")).withColumn("recipient_domain", domain_of(F.col("r"))), "recipient_domain", t) if not victims else m.sparkSession.createDataFrame([(v,) for v in victims], "domain string")
+    odd_ip = B.sending_ip_anomaly(m.select(F.col("sender").alias("actor"), F.col("origin_ip").alias("ip"))).select(F.col("actor").alias("odd_sender"), F.col("ip").alias("odd_ip"))
+    f = f.join(odd_ip, (F.col("sender") == F.col("odd_sender")) & (F.col("origin_ip") == F.col("odd_ip")), "left").withColumn("sending_ip_anomaly", F.col("odd_ip").isNotNull()).drop("odd_sender", "odd_ip")
+    f = _flagged(f, E.display_name_spoof(m, internal), "display_name_spoof")
+    day = anchors.compromise_sec // 86400 if anchors.compromise_sec is not None else 1 << 40
+    files_of = m.join(threads.select("path", "thread"), "path").select("path", "thread", "day", "sender", F.col("sender_domain").alias("domain"), F.explode("attachments").alias("a"))
+    swapped = J.attachment_substitution(files_of.select("path", "thread", "day", "sender", "domain", files.attachment_key(F.col("a.filename")).alias("name"), F.col("a.sha256").alias("sha")).filter("name <> ''"), day)
+    f = _flagged(f, swapped.filter("indicated"), "substituted")
     takeover = anchors.scenario == "ato" or anchors.compromise_sec is not None
     f = f.withColumn("scenario_score", S.initial_score(f, takeover, anchors))
     if audit is not None:
         exploded = audit.select("*", F.explode_outer("message_ids").alias("message_id"))
         ev = J.message_events(m, exploded, anchors.attacker_ips)
-        out["message_events"] = ev
+        reads = exploded.filter("op_lower = 'mailitemsaccessed'").withColumns({"access_type": F.lower(F.coalesce(F.try_element_at("parameters", F.lit("mailaccesstype")), F.lit(""))), "throttled": I.truthy(F.try_element_at("parameters", F.lit("isthrottled")))})
+        deleted = J.deleted_absent(exploded, m)
+        out |= {"message_events": ev, "exposure": J.exposure_scope(m, reads, anchors.attacker_ips), "deleted": deleted, "completeness": Q.completeness(deleted)}
         f = f.join(ev.select("path", "confirmed", F.col("read_only").alias("attacker_read")), "path", "left")
     else:
         f = f.withColumns({"confirmed": F.lit(False), "attacker_read": F.lit(False)})
     no = F.lit(False)
-    f = materialize(f.withColumns({"confirmed": F.coalesce("confirmed", no), "attacker_read": F.coalesce("attacker_read", no), "anchored": F.col("anchors") > 0, "in_window": S.in_lookback(F.col("sec"), anchors), "relevant": S.relevant(F.col("sec"), anchors), "attacker_sent": no, "substituted": no, "signin_confirmed": no}))
+    if signins is not None:
+        found = N.analyze(signins, anchors.attacker_ips, victims)
+        out |= {f"signin_{k}": v for k, v in found.items()}
+        f = _flagged(f, N.confirmed_lures(m, found["tokens"]), "signin_confirmed")
+    else:
+        f = f.withColumn("signin_confirmed", no)
+    named = S.any_of(text.normalize_subject(F.col("subject")), tuple(s.strip().lower() for s in anchors.subjects if s.strip())) if anchors.subjects else no
+    sent = named & A.one_of("sender_domain", victims) & S.after_compromise(F.col("sec"), anchors)
+    f = materialize(f.withColumns({"confirmed": F.coalesce("confirmed", no), "attacker_read": F.coalesce("attacker_read", no), "anchored": F.col("anchors") > 0, "in_window": S.in_lookback(F.col("sec"), anchors), "relevant": S.relevant(F.col("sec"), anchors), "attacker_sent": sent}))
     tiers = materialize(P.tiers(f, t))
     tiered = materialize(f.join(tiers, "path"))
     out |= {"tiers": tiers, "verdict": _verdict(f, takeover, t), "shortlist": P.shortlist(f), "statistics": P.signal_statistics(base, tiers), "techniques": P.technique_summary(base)}
@@ -162,6 +188,7 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
     keys = {"subject": (F.array("subject"), False), "sender": (F.array("sender"), False), "domain": (F.array("domain"), True), "url": (F.col("urls"), False), "file": (F.col("files"), False), "term": (F.col("terms"), True)}
     members = K.campaigns(K.campaign_links(feats, keys, t))
     out["campaigns"] = K.campaign_summary(members.join(tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "day", "score", F.col("likely_precursor").alias("precursor"), F.transform("urls", lambda u: url.parts(u)["host"]).alias("urls")), "path"))
+    out["campaign_indicators"] = K.campaign_indicators(members.join(tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "score", F.col("likely_precursor").alias("precursor"), F.transform("urls", lambda u: url.parts(u)["host"]).alias("urls"), F.transform("attachments", lambda a: a["filename"]).alias("files")), "path"))
 
     about, none = ["path", "day", "tier", "score"], F.lit("").alias("context")
     kinds = [tiered.select(F.lit(k).alias("type"), F.col(c).alias("value"), none, *about) for k, c in (("sender_domain", "sender_domain"), ("sender_email", "sender"), ("origin_ip", "origin_ip"))]
@@ -172,16 +199,27 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
     if audit is not None:
         lines.append(audit.filter(A.one_of("ip", anchors.attacker_ips)).select("sec", F.lit("audit").alias("source"), F.col("op").alias("what"), F.col("ip").alias("ref")))
         out |= {"sessions": A.session_rollup(audit, anchors.attacker_ips, anchors.compromise_sec or 0), "ip_activity": A.ip_activity(audit, anchors.attacker_ips)}
+    if persistence is not None:
+        lines.append(I.timeline_rows(persistence))
+        out["remediation"] = I.remediation_plan(persistence)
     out["timeline"] = R.timeline(lines)
     out["messages"] = tiered
     return Case(anchors, out)
 
 
-def _lookalikes(domains: DataFrame, victims: tuple[str, ...]) -> DataFrame:
-    """sender_domain, lookalike: distinct domains beside the frequent and the victim's own, of which there are few."""
-    known = F.broadcast(domains.filter(F.col("frequent") | A.one_of("sender_domain", victims)).orderBy(F.desc("n")).limit(5000).select(F.col("sender_domain").alias("k")))
-    pairs = domains.filter("NOT frequent").join(known, text.looks_alike(F.col("sender_domain"), F.col("k")))
-    return pairs.groupBy("sender_domain").agg(F.lit(True).alias("lookalike"))
+def _flagged(f: DataFrame, hits: DataFrame, flag: str) -> DataFrame:
+    """f with a boolean column: whether a message's path is among the hits'."""
+    return f.join(hits.select(F.col("path").alias("__hit")).distinct(), F.col("path") == F.col("__hit"), "left").withColumn(flag, F.col("__hit").isNotNull()).drop("__hit")
+
+
+def _lookalikes(domains: DataFrame, victims: tuple[str, ...], m: DataFrame, t: C.Thresholds) -> DataFrame:
+    """sender_domain, lookalike: domains that look like a frequent or internal one, or the victim's own; all of them are
+    compared, by keys."""
+    inside = B.internal_domains(m.select("sender_domain", F.explode_outer("recipients").alias("r")).withColumn("recipient_domain", domain_of(F.col("r"))), "recipient_domain", t)
+    own = m.sparkSession.createDataFrame([(v,) for v in victims], "name string")
+    known = domains.filter("frequent").select(F.col("sender_domain").alias("name")).union(inside.select("domain")).union(own).distinct()
+    rest = domains.select(F.col("sender_domain").alias("name")).join(known, "name", "left_anti")
+    return B.lookalikes(rest, known).select(F.col("name").alias("sender_domain")).distinct().withColumn("lookalike", F.lit(True))
 
 
 def _verdict(f: DataFrame, takeover: bool, t: C.Thresholds) -> DataFrame:

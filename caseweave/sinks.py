@@ -47,3 +47,28 @@ def write_diagnostic(report: DataFrame, path: str) -> None:
 def manifest(sections: dict[str, DataFrame], settings: dict) -> str:
     """How many rows each section has, and the settings, as JSON."""
     return json.dumps({"rows": {n: d.count() for n, d in sections.items()}, "settings": settings}, sort_keys=True, default=str)
+
+
+def write_exposure_csv(inventory: DataFrame, path: str) -> None:
+    """report.exposure_inventory() as CSV."""
+    inventory.write.mode("overwrite").option("header", True).csv(path)
+
+
+PAGE = """<!doctype html><meta charset="utf-8"><title>Case</title><style>body{font:14px sans-serif;margin:2em}td,th{padding:.2em .6em;text-align:left;border-bottom:1px solid #ddd}</style>
+<h1>Case</h1><input id="q" placeholder="filter"><table><thead></thead><tbody></tbody></table><script type="application/json" id="data">%s</script><script>
+const rows=JSON.parse(document.getElementById("data").textContent),cols=rows.length?Object.keys(rows[0]):[],head=document.querySelector("thead"),body=document.querySelector("tbody");
+const line=(cells,tag)=>{const tr=document.createElement("tr");cells.forEach(c=>{const x=document.createElement(tag);x.textContent=typeof c==="object"?JSON.stringify(c):c;tr.append(x)});return tr};
+const show=()=>{const q=document.getElementById("q").value.toLowerCase();body.replaceChildren(...rows.filter(r=>JSON.stringify(r).toLowerCase().includes(q)).map(r=>line(cols.map(c=>r[c]??""),"td")))};
+head.append(line(cols,"th"));document.getElementById("q").addEventListener("input",show);show();</script>"""
+
+
+def write_html(subset: DataFrame, path: str, most: int = 5000) -> None:
+    """One page with the messages of report.report_subset() in it as JSON, in a folder. A report is read by people: the first
+    `most` rows in the order of candidates, which the page says if there are more."""
+    from caseweave.operators.report import candidate_order
+
+    rows = subset.orderBy(*candidate_order()).limit(most).toJSON().collect()
+    text = (PAGE % ("[" + ",".join(rows) + "]").replace("</", "<\\/")).replace("\n", " ")
+    if len(rows) == most:
+        text = text.replace("<h1>Case</h1>", f"<h1>Case</h1><p>The first {most} messages.</p>")
+    subset.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

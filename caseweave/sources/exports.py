@@ -63,6 +63,7 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
     text = F.coalesce(raw, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     ids = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r'(?i)"internetmessageid"\s*:\s*"(<?[^"<>]+>?)"'), F.lit(1)), lambda x: F.lower(x)))
+    subjects = F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?i)"subject"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)))
     pairs = F.regexp_extract_all(text, F.lit(r'(?i)"name"\s*:\s*"([^"]+)"\s*,\s*"value"\s*:\s*"([^"]*)"'), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(r'(?i)"name"\s*:\s*"([^"]+)"\s*,\s*"value"\s*:\s*"([^"]*)"'), F.lit(2))
     entries = F.arrays_zip(F.transform(pairs, F.lower).alias("k"), values.alias("v"))
@@ -72,7 +73,7 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return df.select(
         F.unix_seconds(parse_iso(of(("creationtime", "creationdate"), "CreationTime"))).alias("sec"), op.alias("op"), F.lower(op).alias("op_lower"), F.lower(of(("userid", "userids"), "UserId")).alias("actor"), ip.alias("ip"),
         of(("sessionid",), "SessionId", "AppAccessContext.AADSessionId").alias("session_id"), of(("clientinfostring",), "ClientInfoString").alias("client_info"), of(("logontype",), "LogonType").try_cast("int").alias("logon_type"),
-        F.lower(of(("mailboxownerupn",), "MailboxOwnerUPN")).alias("mailbox_owner"), of(("objectid",), "ObjectId").alias("object_id"), ids.alias("message_ids"), params.alias("parameters"), "file_name",
+        F.lower(of(("mailboxownerupn",), "MailboxOwnerUPN")).alias("mailbox_owner"), of(("objectid",), "ObjectId").alias("object_id"), ids.alias("message_ids"), subjects.alias("subjects"), params.alias("parameters"), "file_name",
     )
 
 
@@ -83,7 +84,7 @@ def read_signins(spark: SparkSession, path: str) -> DataFrame:
     text = {
         "user": ("userprincipalname", "user", "username"), "ip": ("ipaddress", "ip address", "ip"), "asn": ("autonomoussystemnumber", "asn"), "country": ("location.countryorregion", "country", "location"), "agent": ("useragent", "user agent"),
         "corr": ("correlationid", "correlation id"), "app": ("appid", "applicationid", "appdisplayname", "application"), "transfer": ("originaltransfermethod",), "protocol": ("authenticationprotocol",), "requirement": ("authenticationrequirement",),
-        "token_type": ("incomingtokentype",), "client_app": ("clientappused", "client app"), "risk": ("riskleveldduringsignin", "riskleveldaggregated", "risklevelduringsignin"), "device_id": ("devicedetail.deviceid", "deviceid"),
+        "token_type": ("incomingtokentype",), "client_app": ("clientappused", "client app"), "risk": ("riskleveldaggregated", "risklevelduringsignin"), "device_id": ("devicedetail.deviceid", "deviceid"),
     }
     when = parse_iso(field(df, "createddatetime", "date (utc)", "date", "timegenerated"))
     cols = [F.coalesce(field(df, *names), F.lit("")).alias(c) for c, names in text.items()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from email import message_from_bytes, policy
@@ -86,13 +87,20 @@ def parse(path: str, raw: bytes) -> dict:
     return out
 
 
-def _parsed(raw: DataFrame) -> DataFrame:
+def _unboxed(raw: bytes) -> bytes:
+    """A message of an mbox file, without its separator line and the marks before `From `."""
+    head, _, rest = raw.partition(b"\n")
+    return re.sub(rb"(?m)^>(>*From )", rb"\1", rest if head.startswith(b"From ") or b":" not in head.split(b" ")[0] else raw)
+
+
+def _parsed(raw: DataFrame, unbox: bool = False) -> DataFrame:
     """Rows path, content (binary) as typed messages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                row = parse(b.column("path")[i].as_py(), b.column("content")[i].as_py() or b"")
+                content = b.column("content")[i].as_py() or b""
+                row = parse(b.column("path")[i].as_py(), _unboxed(content) if unbox else content)
                 yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
     m = raw.select("path", "content").mapInArrow(run, _DDL)
@@ -115,11 +123,12 @@ def read_eml(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFram
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """The messages of mbox files. Files of any size are split at their `From ` lines by Spark's text reader, so no task
-    holds a whole mailbox. path is the file's name and the message's hash."""
-    x = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_name").alias("file"), "value").filter("trim(value) <> ''")
-    body = F.regexp_replace(F.regexp_replace("value", r"^(From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
-    raw = x.select(F.concat_ws("#", "file", F.substring(F.sha2("value", 256), 1, 16)).alias("path"), F.encode(body, "UTF-8").alias("content"))
-    m = _parsed(raw)
+    holds a whole mailbox. The reader only cuts bytes and doesn't decode them, so bodies of any charset come whole. path is the
+    file's name, the message's hash and its place in the reading, so that equal messages have paths of their own."""
+    x = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").cast("binary").alias("content"))
+    x = x.withColumn("at", F.monotonically_increasing_id()).filter(F.length("content") > 1)
+    raw = x.select(F.concat_ws("#", "file", F.substring(F.sha2("content", 256), 1, 16), F.col("at").cast("string")).alias("path"), "content")
+    m = _parsed(raw, unbox=True)
     folder = F.when(F.col("x_folder") != "", F.element_at(F.split("x_folder", r"[/\\]"), -1)).otherwise("")
     return m.withColumn("folder", folder)
 
@@ -127,3 +136,34 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
 def new_messages(listing: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of a listing (path, length, modificationTime) that an earlier run hasn't stored: what is left to parse."""
     return listing.join(known.select("path", "length", "modificationTime"), ["path", "length", "modificationTime"], "left_anti")
+
+
+def reused_messages(listing: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored rows that still hold: files of the same path, length and time; else files of the same content (sha256) that
+    have moved, under their new path. listing: path, length, modificationTime, sha256 (may be null: not read yet)."""
+    same = stored.join(listing.select("path", "length", "modificationTime"), ["path", "length", "modificationTime"], "left_semi")
+    left = listing.join(same.select("path"), "path", "left_anti").filter("sha256 IS NOT NULL")
+    moved = stored.dropDuplicates(["sha256"]).drop("path", "length", "modificationTime").join(left.select("path", "length", "modificationTime", "sha256"), "sha256")
+    return same.unionByName(moved.select(*same.columns))
+
+
+def upserted(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored rows with new ones in place of those of the same path."""
+    return stored.join(new.select("path"), "path", "left_anti").unionByName(new)
+
+
+def attachment_payloads(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFrame:
+    """path, filename, content of every attachment below a path, read again for a scanner."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found = []
+                for part in message_from_bytes(b.column("content")[i].as_py() or b"", policy=policy.compat32).walk():
+                    name = _text(part.get_filename() or "")
+                    if not part.is_multipart() and (name or part.get_content_disposition() == "attachment"):
+                        found.append((name, part.get_payload(decode=True) or b""))
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("path")[i].as_py()] * len(found), pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], ["path", "filename", "content"])
+
+    return files.mapInArrow(run, "path string, filename string, content binary")
