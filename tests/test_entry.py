@@ -16,7 +16,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLES) <= set(entry.queries())
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"signal_template"}  # its patterns look around
+    assert set(registry.ORACLES) < set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
