@@ -94,10 +94,11 @@ def base_rules(messages: DataFrame, t: C.Thresholds) -> list[P.Rule]:
     pay, hurry = S.any_of(body, S.PAYMENT_TERMS), S.any_of(body, S.URGENCY_TERMS)
     reply = domain_of(normalize_email(F.col("reply_to")))
     received = auth.received_anomaly(F.col("received"), F.lit(True))
+    risky_archive = F.exists("attachments", lambda a: files.extension(a["filename"]).isin(*files.ARCHIVE)) & F.exists("attachments", lambda a: F.arrays_overlap(a["flags"], F.array(*[F.lit(x) for x in files.RISKY_FLAGS])))
     return [
         ("Free-mail sender", "sender", "header:From", F.col("sender_domain").isin(*FREE_MAIL), 3), *_term_rules(messages, t.phrase_cap), ("Risky links", "url", "body", risk > 0, risk),
         ("Link to an IP address", "url", "body", F.exists("urls", lambda u: url.is_ip(url.parts(u)["host"])), 6), ("Attachment: disguised executable", "attachment", "attachment", _has("disguised executable"), 8), ("Attachment does not match the extension", "attachment", "attachment", _has("content does not match the extension"), 6),
-        ("Attachment: executable", "attachment", "attachment", _has("executable extension") | _has("executable in archive"), 8), ("Attachment: macro", "attachment", "attachment", _has("macro extension"), 4), ("Attachment: double extension", "attachment", "attachment", _has("double extension"), 5), ("Attachment: web page", "attachment", "attachment", _has("web page"), 2),
+        ("Attachment: executable", "attachment", "attachment", _has("executable extension"), 8), ("Attachment: archive with a risky item", "attachment", "attachment", risky_archive, 5), ("Attachment: credential form", "attachment", "attachment", _has("credential form"), 6), ("Attachment: undeclared macro", "attachment", "attachment", _has("embedded macro") & ~_has("macro extension"), 4), ("Attachment: macro", "attachment", "attachment", _has("macro extension"), 4), ("Attachment: deceptive name", "attachment", "attachment", _has("double extension") | _has("right-to-left name"), 5), ("Attachment: web page", "attachment", "attachment", _has("web page"), 2),
         ("Payment and urgency", "language", "body", pay & hurry, 5), ("Reply-To differs from sender domain", "identity", "header:Reply-To", (reply != "") & (F.col("sender_domain") != "") & (registrable_domain(reply) != registrable_domain(F.col("sender_domain"))), 5),
         ("Received chain anomaly", "headers", "header:Received", received.isin("missing", "single hop"), 2), ("Date in the future", "headers", "header:Date", auth.date_anomaly(F.col("date_raw"), F.col("date_ts"), F.col("arrival_ts")) == "future", 2),
         ("Hidden link in base64", "url", "body", F.size(files.base64_urls(F.col("body"))) > 0, 6), ("Bulk mail", "sender", "header:List-Unsubscribe", F.col("bulk_mail"), -3),
@@ -147,7 +148,7 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
     flags = {
         "self_spoofing": A.one_of("sender_domain", victims) & (F.col("auth_state") == "failed"), "auth_anomaly": F.coalesce(F.col("enforces"), F.lit(False)) & (F.col("auth_state") == "failed"), "lookalike": F.lit(False), "reply_to_mismatch": (domain_of(normalize_email(F.col("reply_to"))) != "") & (domain_of(normalize_email(F.col("reply_to"))) != F.col("sender_domain")),
         "deleted": folder == "deleted", "moved": folder == "moved", "rule_target": S.any_of(body, anchors.rule_keywords) if anchors.rule_keywords else F.lit(False),
-        "attachment_credential": _has("web page"), "attachment_other": F.exists("attachments", lambda a: F.size(a["flags"]) > 0), "login_url": F.exists("urls", lambda u: url.risk_rules(u)["auth_path"][0]), "has_url": F.size("urls") > 0, "first_contact": F.coalesce("first_contact", F.lit(False)), "established": F.coalesce("established", F.lit(False)),
+        "attachment_credential": _has("credential form"), "attachment_other": F.size(files.threat_notes(F.col("attachments"))) > 0, "login_url": F.exists("urls", lambda u: url.risk_rules(u)["auth_path"][0]), "has_url": F.size("urls") > 0, "first_contact": F.coalesce("first_contact", F.lit(False)), "established": F.coalesce("established", F.lit(False)),
     }
     lookalike = _lookalikes(domains, victims, m, t)
     f = scored.withColumns({**flags, "inbound": inbound | A.one_of("sender_domain", victims) & (F.col("auth_state") == "failed"), "text": body, "anchors": F.size(hits)}).drop("lookalike").join(lookalike, "sender_domain", "left").withColumn("lookalike", F.coalesce("lookalike", F.lit(False)))

@@ -23,12 +23,16 @@ from caseweave.functions.html import html_to_text
 from caseweave.functions.timeparse import parse_rfc2822
 from caseweave.functions.url import urls_in
 
+#: Attachments over this many bytes are hashed, not inspected.
+INSPECTED = 30 * 1024 * 1024
+#: Messages of so many bytes leave the parser together.
+BATCH_BYTES = 8 << 20
 #: Headers kept as lists, by column.
 LISTS = {"authentication_results": "Authentication-Results", "received_spf": "Received-SPF", "dkim_signatures": "DKIM-Signature", "received": "Received", "x_originating_ip": "X-Originating-IP"}
 TEXTS = {"message_id": "Message-ID", "in_reply_to": "In-Reply-To", "references": "References", "subject": "Subject", "date_raw": "Date", "return_path": "Return-Path", "reply_to": "Reply-To", "list_unsubscribe": "List-Unsubscribe", "precedence": "Precedence", "x_folder": "X-Folder"}
-_ATTACHMENT = pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("head", pa.binary()), ("entries", pa.list_(pa.string()))])
+_ATTACHMENT = pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("head", pa.binary()), ("entries", pa.list_(pa.string())), ("web", pa.string())])
 _SCHEMA = pa.schema([("path", pa.string()), ("sender_name", pa.string()), ("sender_email", pa.string()), ("recipients", pa.list_(pa.string())), ("cc", pa.list_(pa.string())), ("plain", pa.string()), ("html", pa.string()), *[(c, pa.string()) for c in TEXTS], *[(c, pa.list_(pa.string())) for c in LISTS], ("attachments", pa.list_(_ATTACHMENT))])
-_DDL = "path string, sender_name string, sender_email string, recipients array<string>, cc array<string>, plain string, html string, " + ", ".join(f"`{c}` string" for c in TEXTS) + ", " + ", ".join(f"{c} array<string>" for c in LISTS) + ", attachments array<struct<filename:string,content_type:string,size:bigint,sha256:string,head:binary,entries:array<string>>>"
+_DDL = "path string, sender_name string, sender_email string, recipients array<string>, cc array<string>, plain string, html string, " + ", ".join(f"`{c}` string" for c in TEXTS) + ", " + ", ".join(f"{c} array<string>" for c in LISTS) + ", attachments array<struct<filename:string,content_type:string,size:bigint,sha256:string,head:binary,entries:array<string>,web:string>>"
 
 
 def _text(value: object) -> str:
@@ -54,14 +58,42 @@ def _addresses(values: list) -> list[str]:
     return list(dict.fromkeys(a.lower() for _, a in getaddresses([_text(v) for v in values]) if "@" in a))
 
 
-def _entries(payload: bytes) -> list[str]:
+def _entries(payload: bytes) -> list[str] | None:
+    """The names in a ZIP container; None if it can't be read, or is none."""
     if not payload.startswith(b"PK"):
-        return []
+        return None
     try:
         with zipfile.ZipFile(io.BytesIO(payload)) as z:
             return z.namelist()
     except (zipfile.BadZipFile, NotImplementedError, OSError, ValueError):
-        return []
+        return None
+
+
+def _attachment(part: Message, filename: str) -> dict:
+    """What is read of one attachment: its first bytes, a ZIP's entries, and the text of a web page or of a forwarded message.
+    Payloads over INSPECTED bytes are only hashed."""
+    kind = part.get_content_type()
+    entries = web = None
+    if part.is_multipart():
+        inner = next((p for p in part.get_payload() if isinstance(p, Message)), None)
+        payload = b"" if inner is None else _flat(inner)
+        if inner is not None:
+            web = "\n".join([_text(inner.get("Subject")), *(_decoded(p) for p in inner.walk() if not p.is_multipart() and p.get_content_type() in ("text/plain", "text/html"))])
+    else:
+        payload = part.get_payload(decode=True) or b""
+        if len(payload) <= INSPECTED:
+            entries = _entries(payload)
+            if kind in ("text/html", "application/xhtml+xml") or filename.lower().endswith((".html", ".htm", ".shtml")):
+                web = _decoded(part)
+    head = payload[:512] if len(payload) <= INSPECTED and not part.is_multipart() else b""
+    return {"filename": filename, "content_type": kind, "size": len(payload), "sha256": hashlib.sha256(payload).hexdigest(), "head": head, "entries": entries, "web": web}
+
+
+def _flat(m: Message) -> bytes:
+    try:
+        return m.as_bytes()
+    except (AttributeError, LookupError, TypeError, ValueError):  # headers or charsets that can't be written again
+        return b""
 
 
 def parse(path: str, raw: bytes) -> dict:
@@ -70,13 +102,14 @@ def parse(path: str, raw: bytes) -> dict:
     name, sender = parseaddr(_text(m.get("From")))
     plain, html, files = [], [], []
     for part in m.walk():
-        if part.is_multipart():
-            continue
         filename = _text(part.get_filename() or "")
         kind = part.get_content_type()
-        if filename or part.get_content_disposition() == "attachment":
-            payload = part.get_payload(decode=True) or b""
-            files.append({"filename": filename, "content_type": kind, "size": len(payload), "sha256": hashlib.sha256(payload).hexdigest(), "head": payload[:64], "entries": _entries(payload)})
+        attached = bool(filename) or part.get_content_disposition() == "attachment"
+        if part.is_multipart():
+            if attached and kind == "message/rfc822":
+                files.append(_attachment(part, filename))
+        elif attached:
+            files.append(_attachment(part, filename))
         elif kind == "text/plain":
             plain.append(_decoded(part))
         elif kind == "text/html":
@@ -98,10 +131,16 @@ def _parsed(raw: DataFrame, unbox: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, size = [], 0
             for i in range(b.num_rows):
                 content = b.column("content")[i].as_py() or b""
-                row = parse(b.column("path")[i].as_py(), _unboxed(content) if unbox else content)
-                yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
+                rows.append(parse(b.column("path")[i].as_py(), _unboxed(content) if unbox else content))
+                size += len(content)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     m = raw.select("path", "content").mapInArrow(run, _DDL)
     body = F.when(F.trim("plain") != "", F.col("plain")).otherwise(html_to_text(F.col("html")))
@@ -110,9 +149,12 @@ def _parsed(raw: DataFrame, unbox: bool = False) -> DataFrame:
     flags = auth.auth_flags(auth.auth_detail(F.col("authentication_results")), F.col("received_spf"))
     m = m.withColumns({"references": refs, "arrival_ts": auth.arrival(F.col("received"), F.col("date_ts")), "auth": flags, "auth_state": auth.auth_state(flags), "origin_ip": auth.origin_ip(F.col("x_originating_ip"), F.col("received"))})
     bulk = (F.col("list_unsubscribe") != "") | F.lower("precedence").isin("bulk", "list", "junk")
-    files = F.transform("attachments", lambda a: F.struct(a["filename"].alias("filename"), a["content_type"].alias("content_type"), a["size"].alias("size"), a["sha256"].alias("sha256"), sniff(a["head"]).alias("sniffed_type"), name_flags(a["filename"], sniff(a["head"]), a["entries"]).alias("flags")))
+    page = lambda a: F.struct(a["filename"].alias("filename"), a["content_type"].alias("content_type"), a["size"].alias("size"), a["sha256"].alias("sha256"), sniff(a["head"]).alias("sniffed_type"), name_flags(a["filename"], sniff(a["head"]), a["entries"], a["content_type"], a["web"]).alias("flags"), urls_in(a["web"]).alias("urls"))
+    files = F.transform("attachments", page)
     seed = F.coalesce(F.try_element_at("references", F.lit(1)), F.nullif("in_reply_to", F.lit("")), F.nullif("message_id", F.lit("")))
-    return m.withColumns({"bulk_mail": bulk, "attachments": files, "urls": urls_in(F.concat_ws("\n", "subject", "body", "html")), "thread_seed": seed}).drop("plain")
+    m = m.withColumns({"bulk_mail": bulk, "attachments": files, "thread_seed": seed})
+    # first wins: the text, then its links, then what is attached
+    return m.withColumn("urls", F.array_distinct(F.concat(urls_in(F.concat_ws("\n", "subject", "body", "html")), F.flatten(F.transform("attachments", lambda a: a["urls"]))))).drop("plain")
 
 
 def read_eml(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFrame:

@@ -51,7 +51,7 @@ def test_eml(spark, box):
     assert a.date_ts.isoformat() == "2024-01-01T08:00:00" and a.arrival_ts.isoformat() == "2024-01-01T09:00:05"
     assert a.auth.spf_pass and a.auth.dkim_fail and a.auth.dmarc_fail and a.auth_state == "failed"
     assert a.origin_ip == "198.51.100.7" and a.urls == ["https://login.example.top/verify?next=1"]
-    assert [(x.sniffed_type, x.flags) for x in a.attachments] == [("zip", ["executable in archive"]), ("exe", ["disguised executable", "content does not match the extension"])]
+    assert [(x.sniffed_type, x.flags) for x in a.attachments] == [("zip", ["executable in archive"]), ("pe_executable", ["disguised executable"])]
     assert rows["b.eml"].date_ts is None and rows["c.eml"].attachments == []
 
 
@@ -126,3 +126,35 @@ def test_sinks(spark, tmp_path, box):
     sinks.write_diagnostic(clean, str(tmp_path / "d"))
     with pytest.raises(ValueError):
         sinks.write_diagnostic(spark.createDataFrame([("from a@b.example",)], "text string"), str(tmp_path / "e"))
+
+
+def test_attachments_in_depth(spark, tmp_path):
+    m = EmailMessage()
+    m["From"], m["To"], m["Subject"] = "a@b.example", "c@d.example", "See https://own.example/x"
+    m.set_content("text")
+    inner = EmailMessage()
+    inner["Subject"] = "Fwd https://inner.example/s"
+    inner.set_content("go to https://inner.example/b now")
+    m.add_attachment(inner, filename="old.eml")
+    m.add_attachment("<html><a href='https://form.example/in'>x</a><form><input type='password'></form>", subtype="html", filename="login.html")
+    m.add_attachment("<p>see https://link.example/y", subtype="html", filename="page.htm")
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("word/vbaProject.bin", b"x")
+    m.add_attachment(b.getvalue(), maintype="application", subtype="zip", filename="plain.docx")
+    m.add_attachment(b"Rar!\x1a\x07x", maintype="application", subtype="zip", filename="a.rar")
+    m.add_attachment(b"  " + b"x" * 150 + b"<script>", maintype="application", subtype="octet-stream", filename="late")
+    m.add_attachment(b"", maintype="application", subtype="zip", filename="empty.zip")
+    (tmp_path / "m.eml").write_bytes(m.as_bytes())
+    r = mail.read_eml(spark, str(tmp_path)).collect()[0]
+    assert [(a.filename, a.sniffed_type, a.flags, a.urls) for a in r.attachments] == [
+        ("old.eml", "", ["forwarded message"], ["https://inner.example/s", "https://inner.example/b"]),
+        ("login.html", "html", ["web page", "credential form"], ["https://form.example/in"]),
+        ("page.htm", "", ["web page", "links in web page"], ["https://link.example/y"]),
+        ("plain.docx", "zip", ["embedded macro"], []),
+        ("a.rar", "rar", ["archive not inspected"], []),
+        ("late", "html", [], []),
+        ("empty.zip", "", ["archive not inspected"], []),
+    ]
+    assert r.urls[0] == "https://own.example/x" and set(r.urls) >= {"https://inner.example/s", "https://form.example/in", "https://link.example/y"}
+    assert len({a.sha256 for a in r.attachments}) == 7
