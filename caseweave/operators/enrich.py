@@ -97,11 +97,15 @@ def address_countries(activity: DataFrame, history: DataFrame, expected: tuple[s
     return g.select("ip", "country", F.when(F.col("has"), ~F.col("seen")).otherwise(other).alias("unexpected"), F.when(F.col("has"), "user").when(F.lit(bool(expected)), "global").otherwise("").alias("basis"))
 
 
+def _marked(mark: str, texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.concat(F.lit(mark), x))
+
+
 def config_drift(rules: DataFrame, recorded: DataFrame, internal: tuple[str, ...]) -> DataFrame:
     """name, external: concealing rules that nothing in the audit log explains by what they do. rules and recorded: name, forwards,
     words, move_to; rules also conceals. Rules meet by what they do (an address, a word, a folder), not all with all."""
     none = F.array().cast("array<string>")
-    does = F.array_distinct(F.concat(*[F.transform(F.coalesce(c, none), lambda x, k=k: F.concat(F.lit(k), x)) for k, c in (("f:", F.col("forwards")), ("w:", F.col("words")), ("m:", F.filter(F.array(F.lower("move_to")), lambda x: x != "")))]))
+    does = F.array_distinct(F.concat(*[_marked(k, F.coalesce(c, none)) for k, c in (("f:", F.col("forwards")), ("w:", F.col("words")), ("m:", F.filter(F.array(F.lower("move_to")), lambda x: x != "")))]))
     keys = recorded.select(F.explode(does).alias("key")).distinct()
     numbered = rules.filter("conceals").withColumn("__n", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rules.columns]))))
     known = numbered.select("__n", F.explode(does).alias("key")).join(keys, "key", "left_semi").select("__n").distinct()

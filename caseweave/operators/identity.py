@@ -31,6 +31,9 @@ HIGH_SCOPES = (
     "application.readwrite.all", "approleassignment.readwrite.all", "roleassignmentschedule.readwrite.directory", "privilegedaccess.readwrite.azuread", "chat.read", "chat.readwrite", "chatmessage.read",
 )
 DURABLE_SCOPES = ("offline_access",)
+# Folders that hide mail, and folders that people file into.
+HIDDEN = ("rss feeds", "rss subscriptions", "conversation history", "notes", "sync issues")
+FILED = ("archive", "junk", "deleted items", "trash", "clutter")
 #: How long access lasts, longest first.
 SURVIVAL = ("tenant", "survives", "partial", "conditional", "no")
 
@@ -127,13 +130,14 @@ def impersonation(messages: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def mailbox_rules(rows: DataFrame) -> DataFrame:
-    """name, mailbox, forwards, words, conceals of live rules. rows: name, mailbox, forward_to, move_to, delete, words."""
-    hidden = F.lit(False)
-    for h in ("rss", "archive", "junk", "deleted", "conversation history", "notes"):
-        hidden |= F.lower(F.coalesce("move_to", F.lit(""))).contains(h)
+    """name, mailbox, forwards, words, move_to, conceals of live rules. rows: name, mailbox, forward_to, move_to, delete, words.
+    Filing into a folder that people use conceals only by words."""
+    folder = F.lower(F.trim(F.coalesce("move_to", F.lit(""))))
     words = F.filter(F.transform(F.split(F.lower(F.coalesce("words", F.lit(""))), "[;,]"), lambda w: F.regexp_replace(F.trim(w), "^[\"']+|[\"']+$", "")), lambda w: w != "")
     forwards = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("forward_to", F.lit("")), F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), F.lit(1)), F.lower))
-    return rows.select("name", "mailbox", forwards.alias("forwards"), words.alias("words"), (hidden | truthy(F.col("delete"))).alias("conceals"))
+    r = rows.select("name", "mailbox", forwards.alias("forwards"), words.alias("words"), folder.alias("move_to"), truthy(F.col("delete")).alias("gone"))
+    hides = F.col("gone") | (F.size("forwards") > 0) | F.col("move_to").isin(*HIDDEN) | (F.col("move_to").isin(*FILED) & (F.size("words") > 0))
+    return r.select("name", "mailbox", "forwards", "words", "move_to", hides.alias("conceals"))
 
 
 def rule_findings(rules: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def audit_status(rows: DataFrame, victim: str) -> DataFrame:
     """The audit settings of the victim's mailbox: the last row of it, or the only mailbox's if it isn't there. rows: seq, mailbox, enabled."""
     last = rows.withColumn("r", F.row_number().over(Window.partitionBy(F.lower("mailbox")).orderBy(F.desc("seq")))).filter("r = 1")
     n = F.broadcast(last.agg(F.count("*").alias("n"), F.count_if(F.lower("mailbox") == victim.lower()).alias("own")))
-    return last.crossJoin(n).filter((F.lower("mailbox") == victim.lower()) | ((F.col("own") == 0) & (F.col("n") == 1))).select("mailbox", truthy(F.col("enabled")).alias("enabled"))
+    return last.crossJoin(n).filter((F.lower("mailbox") == victim.lower()) | ((F.col("own") == 0) & (F.col("n") == 1))).select("mailbox", truthy(F.col("enabled")).alias("enabled"), *[c for c in rows.columns if c == "records_reads"])
 
 
 def owner_addresses(signins: DataFrame, devices: DataFrame) -> DataFrame:

@@ -114,6 +114,17 @@ def completeness(deleted: DataFrame) -> DataFrame:
     return r.withColumn("complete", F.col("absent") == 0)
 
 
+def diagnostic(statistics: DataFrame, messages: DataFrame) -> DataFrame:
+    """section, name, n: how often each signal fired (signals as templates), and how many messages each tier and each band of
+    scores has. Nothing in it names anyone."""
+    from caseweave.functions.text import template
+
+    signals = statistics.groupBy(F.lit("signal").alias("section"), template(F.col("signal")).alias("name")).agg(F.sum("fires").cast("long").alias("n"))
+    tiers = messages.groupBy(F.lit("tier").alias("section"), F.col("tier").cast("string").alias("name")).agg(F.count("*").alias("n"))
+    bands = messages.groupBy(F.lit("score").alias("section"), (F.floor(F.col("score") / 5) * 5).cast("string").alias("name")).agg(F.count("*").alias("n"))
+    return signals.unionByName(tiers).unionByName(bands)
+
+
 def source_provenance(sources: dict[str, DataFrame]) -> DataFrame:
     """kind, rows, first_sec, last_sec of each source that a case was made from."""
     out = None

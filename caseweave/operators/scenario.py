@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.functions import url
 from caseweave.operators.rollups import union_all
 
 # Language of lures.
@@ -37,11 +38,12 @@ class Anchors:
     fraud_accounts: tuple[str, ...] = ()
     impersonated: tuple[str, ...] = ()
     subjects: tuple[str, ...] = ()
+    attacker_domains: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict)
 
     def merged(self, derived: Anchors) -> Anchors:
         """With what the logs say: explicit values win, lists are joined in order without repeats."""
-        lists = {n: tuple(dict.fromkeys((*getattr(self, n), *getattr(derived, n)))) for n in ("victims", "attacker_ips", "attacker_addresses", "rule_keywords", "fraud_accounts", "impersonated", "subjects")}
+        lists = {n: tuple(dict.fromkeys((*getattr(self, n), *getattr(derived, n)))) for n in ("victims", "attacker_ips", "attacker_addresses", "rule_keywords", "fraud_accounts", "impersonated", "subjects", "attacker_domains")}
         return replace(self, compromise_sec=self.compromise_sec if self.compromise_sec is not None else derived.compromise_sec, scenario=self.scenario or derived.scenario, **lists)
 
     @property
@@ -73,11 +75,25 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def _some(texts: Column, part: str) -> Column:
+    return F.exists(texts, lambda t: t.contains(part))
+
+
 def anchor_matches(m: DataFrame, a: Anchors, text: str = "body", sender: str = "sender") -> Column:
-    """What of the anchors a message shows, as an array."""
-    made = [F.when(F.lower(F.col(sender)) == x.lower(), F.lit(f"attacker address {x}")) for x in a.attacker_addresses]
+    """What of the anchors a message shows, as an array. What asks for columns that m hasn't (sender_name, reply_to,
+    sender_domain, urls, origin_ip) is left out."""
+    have, low = set(m.columns), F.lower(F.coalesce(F.col(text), F.lit("")))
+    answer = F.lower(F.regexp_extract(F.coalesce("reply_to", F.lit("")), r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", 1)) if "reply_to" in have else F.lit("")
+    made = [F.when((F.lower(F.col(sender)) == x.lower()) | (answer == x.lower()), F.lit(f"attacker address {x}")) for x in a.attacker_addresses]
     made += [F.when(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\s-]", "").contains(x.lower().replace(" ", "").replace("-", "")), F.lit(f"account {x}")) for x in a.fraud_accounts]
     made += [F.when(F.lower("subject").contains(x.lower()), F.lit(f"subject {x}")) for x in a.subjects]
+    named = F.lower(F.coalesce("sender_name", F.lit(""))) if "sender_name" in have else F.lit("")
+    made += [F.when(named.contains(x.lower()) | low.contains(x.lower()), F.lit(f"impersonated party {x}")) for x in a.impersonated if x]
+    if "sender_domain" in have:
+        hosts = F.transform("urls", lambda u: url.parts(u)["host"]) if "urls" in have else F.array().cast("array<string>")
+        made += [F.when((F.col("sender_domain") == x.lower()) | (F.substring_index(answer, "@", -1) == x.lower()) | _some(hosts, x.lower()), F.lit(f"attacker domain {x}")) for x in a.attacker_domains if x]
+    if "origin_ip" in have:
+        made += [F.when(F.col("origin_ip") == x, F.lit(f"attacker IP {x}")) for x in a.attacker_ips if x]
     return F.filter(F.array(*made) if made else F.array().cast("array<string>"), lambda x: x.isNotNull())
 
 

@@ -24,6 +24,7 @@ from caseweave.operators import rollups as R
 from caseweave.operators import scenario as S
 from caseweave.operators import scoring as P
 from caseweave.operators import threads as T
+from caseweave.plans import evidence_case as V
 from caseweave.plans import signin_case as N
 
 # Mail hosts that anyone can use.
@@ -44,31 +45,35 @@ class Case:
             raise AttributeError(name) from None
 
 
-def attribute(events: DataFrame, anchors: S.Anchors, owner_ips: tuple[str, ...] = ()) -> S.Anchors:
+def attribute(events: DataFrame, anchors: S.Anchors, owner_ips: tuple[str, ...] = (), owners: DataFrame | None = None) -> S.Anchors:
     """Anchors with the attacker's addresses and the time of the compromise that the audit log gives.
 
     In this order: addresses that made suspicious rules, and those given; less the owner's; and those that share a session with
-    them, once. The addresses of one attacker are a few, and become literals."""
-    params = F.col("parameters")
-    p = lambda k: F.coalesce(F.try_element_at(params, F.lit(k)), F.lit(""))
-    rules = events.filter(A.one_of("op_lower", C.RULE_OPS) & (F.col("ip") != ""))
-    forwards = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(p(k), F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), F.lit(1)) for k in ("forwardto", "redirectto", "forwardasattachmentto", "forwardingsmtpaddress", "forwardingaddress")])))
-    words = F.filter(F.flatten(F.array(*[F.split(F.lower(p(k)), "[;,]") for k in ("subjectcontainswords", "bodycontainswords", "subjectorbodycontainswords", "fromaddresscontainswords")])), lambda w: F.trim(w) != "")
-    hidden = F.lower(p("movetofolder")).rlike("rss|archive|junk|deleted|conversation history|notes") | I.truthy(p("deletemessage"))
-    r = rules.select("ip", p("name").alias("name"), forwards.alias("forwards"), words.alias("words"), p("movetofolder").alias("move_to"), hidden.alias("conceals"), I.truthy(p("markasread")).alias("mark_read"), I.truthy(p("stopprocessingrules")).alias("stop"))
+    them, once. The addresses of one attacker are a few, and become literals; owners (ip: addresses that owners' devices vouch
+    for, any number) are only asked about those."""
+    r = V.recorded_rules(events.filter("ip <> ''"))
     odd = (F.length(F.trim("name")) <= 2) & (F.trim("name") != "") & ~F.trim("name").rlike("[A-Za-z0-9]{2}")
     bad = r.filter((F.size("forwards") > 0) | F.col("conceals") | (F.size("words") > 0) | odd | ((F.col("mark_read") | F.col("stop")) & (F.col("move_to") != "")))
-    keywords = tuple(sorted({w.word for w in bad.select(F.explode("words").alias("word")).select(F.regexp_replace(F.trim("word"), "^[\"']+|[\"']+$", "").alias("word")).distinct().collect()}))
+    keywords = tuple(sorted(w.word for w in bad.select(F.explode("words").alias("word")).distinct().collect()))
     ips = {x.ip for x in bad.select("ip").distinct().collect()} | set(anchors.attacker_ips)
-    ips -= set(owner_ips)
+    ips -= _vouched(ips, owner_ips, owners)
     known = tuple(sorted(ips))
     if known:
-        ips |= {x.ip for x in A.session_widening(events, known, owner_ips).collect()}
+        wider = {x.ip for x in A.session_widening(events, known, owner_ips).collect()}
+        ips |= wider - _vouched(wider, owner_ips, owners)
     known = tuple(sorted(ips))
     first = events.filter(A.one_of("ip", known)).agg(F.min("sec")).first()[0] if known else None
     return anchors.merged(S.Anchors(attacker_ips=known, compromise_sec=first, rule_keywords=keywords, scenario="ato" if first is not None else ""))
 
 
+def _vouched(ips: set[str], owner_ips: tuple[str, ...], owners: DataFrame | None) -> set[str]:
+    """Those of a few addresses that are their owner's."""
+    said = set(owner_ips)
+    if owners is not None and ips:
+        said |= {r.ip for r in owners.filter(A.one_of("ip", tuple(sorted(ips)))).distinct().collect()}
+    return ips & said
+
+
 def _term_rules(messages: DataFrame, cap: float) -> list[P.Rule]:
     """A rule for each phrase, its weight lowered where the phrase is common in this corpus: one pass counts all phrases."""
     low = F.concat_ws("\n", "subject", "body")
@@ -87,43 +92,55 @@ def _has(flag: str) -> Column:
     return F.exists("attachments", lambda a: F.array_contains(a["flags"], flag))
 
 
-def base_rules(messages: DataFrame, t: C.Thresholds) -> list[P.Rule]:
-    """The additive rules over messages as caseweave.sources.mail gives them."""
+def base_rules(messages: DataFrame, t: C.Thresholds, allowlist: tuple[str, ...] = ()) -> list[P.Rule]:
+    """The additive rules over messages as caseweave.sources.mail gives them.
+
+    Odd Received chains and dates of senders in allowlist (registrable domains) don't count, unless authentication fails or
+    answers go elsewhere: a spoof of a trusted sender stays visible."""
     risk = F.least(F.lit(12), F.aggregate(F.transform("urls", url.risk_score), F.lit(0), lambda a, x: a + x))
     body = F.concat_ws("\n", "subject", "body")
     pay, hurry = S.any_of(body, S.PAYMENT_TERMS), S.any_of(body, S.URGENCY_TERMS)
     reply = domain_of(normalize_email(F.col("reply_to")))
     received = auth.received_anomaly(F.col("received"), F.lit(True))
+    astray = (reply != "") & (F.col("sender_domain") != "") & (registrable_domain(reply) != registrable_domain(F.col("sender_domain")))
+    trusted = registrable_domain(F.col("sender_domain")).isin(*[a.lower() for a in allowlist]) if allowlist else F.lit(False)
+    quiet = trusted & (F.col("auth_state") != "failed") & ~astray
     risky_archive = F.exists("attachments", lambda a: files.extension(a["filename"]).isin(*files.ARCHIVE)) & F.exists("attachments", lambda a: F.arrays_overlap(a["flags"], F.array(*[F.lit(x) for x in files.RISKY_FLAGS])))
     return [
         ("Free-mail sender", "sender", "header:From", F.col("sender_domain").isin(*FREE_MAIL), 3), *_term_rules(messages, t.phrase_cap), ("Risky links", "url", "body", risk > 0, risk),
         ("Link to an IP address", "url", "body", F.exists("urls", lambda u: url.is_ip(url.parts(u)["host"])), 6), ("Attachment: disguised executable", "attachment", "attachment", _has("disguised executable"), 8), ("Attachment does not match the extension", "attachment", "attachment", _has("content does not match the extension"), 6),
         ("Attachment: executable", "attachment", "attachment", _has("executable extension"), 8), ("Attachment: archive with a risky item", "attachment", "attachment", risky_archive, 5), ("Attachment: credential form", "attachment", "attachment", _has("credential form"), 6), ("Attachment: undeclared macro", "attachment", "attachment", _has("embedded macro") & ~_has("macro extension"), 4), ("Attachment: macro", "attachment", "attachment", _has("macro extension"), 4), ("Attachment: deceptive name", "attachment", "attachment", _has("double extension") | _has("right-to-left name"), 5), ("Attachment: web page", "attachment", "attachment", _has("web page"), 2),
-        ("Payment and urgency", "language", "body", pay & hurry, 5), ("Reply-To differs from sender domain", "identity", "header:Reply-To", (reply != "") & (F.col("sender_domain") != "") & (registrable_domain(reply) != registrable_domain(F.col("sender_domain"))), 5),
-        ("Received chain anomaly", "headers", "header:Received", received.isin("missing", "single hop"), 2), ("Date in the future", "headers", "header:Date", auth.date_anomaly(F.col("date_raw"), F.col("date_ts"), F.col("arrival_ts")) == "future", 2),
+        ("Payment and urgency", "language", "body", pay & hurry, 5), ("Reply-To differs from sender domain", "identity", "header:Reply-To", astray, 5),
+        ("Received chain anomaly", "headers", "header:Received", received.isin("missing", "single hop") & ~quiet, 2), ("Date in the future", "headers", "header:Date", (auth.date_anomaly(F.col("date_raw"), F.col("date_ts"), F.col("arrival_ts")) == "future") & ~quiet, 2),
         ("Hidden link in base64", "url", "body", F.size(files.base64_urls(F.col("body"))) > 0, 6), ("Bulk mail", "sender", "header:List-Unsubscribe", F.col("bulk_mail"), -3),
     ]
 
 
-def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: DataFrame | None = None, owner_ips: tuple[str, ...] = (), t: C.Thresholds = C.DEFAULTS, victim_domains: tuple[str, ...] = (), signins: DataFrame | None = None, persistence: DataFrame | None = None) -> Case:
+def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: DataFrame | None = None, owner_ips: tuple[str, ...] = (), t: C.Thresholds = C.DEFAULTS, victim_domains: tuple[str, ...] = (), signins: DataFrame | None = None, persistence: DataFrame | None = None, evidence: dict[str, DataFrame] | None = None, allowlist: tuple[str, ...] = (), containment_sec: int | None = None, lure_window_sec: int = 1200) -> Case:
     """A case from messages (as caseweave.sources.mail reads them) and, if there, an audit log and sign-ins (as
     caseweave.sources.exports reads them), and persistence events (identity.persistence).
 
     Frames: findings, scores, threads, campaigns, campaign_indicators, message_events, tiers, verdict, shortlist, iocs,
     timeline, statistics; of an audit log also sessions, ip_activity, exposure, deleted, completeness; of sign-ins those of
-    signin_case.analyze() under signin_ names; of persistence events remediation."""
+    signin_case.analyze() under signin_ names; of persistence events remediation; of evidence (kind to frame, as
+    sources.evidence.collect() reads exports) those of evidence_case.analyze(). Always narrative and case_page.
+
+    allowlist: registrable domains, as base_rules() takes them. Events of the audit log from
+    containment_sec on are the responders', and name no attacker."""
     anchors = anchors or S.Anchors()
     if audit is not None:
         audit = materialize(audit.withColumns({"us": F.col("sec") * 1_000_000, "event_id": F.monotonically_increasing_id()}))
-        anchors = attribute(audit, anchors, owner_ips)
+        owners = I.owner_addresses(signins, evidence["devices"]) if signins is not None and evidence and "devices" in evidence else None
+        acted = audit if containment_sec is None else audit.filter((F.col("sec") < containment_sec) | F.col("sec").isNull())
+        anchors = attribute(acted, anchors, owner_ips, owners)
         if anchors.subjects:  # who sent what the investigator names is the attacker too: a few addresses
-            more = tuple(r.ip for r in A.subject_senders(audit, anchors.subjects, anchors.compromise_sec).collect() if r.ip not in owner_ips)
+            more = tuple(r.ip for r in A.subject_senders(acted, anchors.subjects, anchors.compromise_sec).collect() if r.ip not in owner_ips)
             anchors = anchors.merged(S.Anchors(attacker_ips=more))
     timed = messages.withColumns({"sec": F.unix_seconds("arrival_ts"), "day": F.floor(F.unix_seconds("arrival_ts") / 86400), "sender": F.col("sender_email")})
     m = materialize(X.prepare_bodies(timed, anchors.compromise_sec // 86400 if anchors.compromise_sec is not None else None, t))
     out: dict[str, DataFrame] = {"messages": m}
 
-    base = materialize(P.findings(m, base_rules(m, t)))
+    base = materialize(P.findings(m, base_rules(m, t, allowlist)))
     summed = P.scores(m, base)
     domains = B.domain_baseline(m.withColumn("auth", F.when(F.col("auth_state").isin("aligned", "partial"), "pass").when(F.col("auth_state") == "failed", "fail")), t)
     d = domains.select(F.col("sender_domain").alias("d"), "n", "auth_seen", "auth_pass", "enforces", "established", "first_contact", "frequent")
@@ -175,7 +192,7 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
     if signins is not None:
         found = N.analyze(signins, anchors.attacker_ips, victims)
         out |= {f"signin_{k}": v for k, v in found.items()}
-        f = _flagged(f, N.confirmed_lures(m, found["tokens"]), "signin_confirmed")
+        f = _flagged(f, N.confirmed_lures(m, found["tokens"], lure_window_sec), "signin_confirmed")
     else:
         f = f.withColumn("signin_confirmed", no)
     named = S.any_of(text.normalize_subject(F.col("subject")), tuple(s.strip().lower() for s in anchors.subjects if s.strip())) if anchors.subjects else no
@@ -200,14 +217,29 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
     if audit is not None:
         lines.append(audit.filter(A.one_of("ip", anchors.attacker_ips)).select("sec", F.lit("audit").alias("source"), F.col("op").alias("what"), F.col("ip").alias("ref")))
         out |= {"sessions": A.session_rollup(audit, anchors.attacker_ips, anchors.compromise_sec or 0), "ip_activity": A.ip_activity(audit, anchors.attacker_ips)}
+        cover = A.coverage(audit)
+        out |= {"coverage": cover, "file_activity": A.file_activity(audit, anchors.attacker_ips), "coverage_warnings": _limits(cover, tiered, anchors)}
+    if evidence:
+        out |= V.analyze(evidence, tiered, anchors, victim_domains, audit, containment_sec)
     if persistence is not None:
-        lines.append(I.timeline_rows(persistence))
-        out["remediation"] = I.remediation_plan(persistence)
+        out |= {"persistence": persistence, "remediation": I.remediation_plan(persistence)}
+    if "persistence" in out:
+        lines.append(I.timeline_rows(out["persistence"]))
     out["timeline"] = R.timeline(lines)
+    out["narrative"] = V.story(out, tiered, audit, anchors)
+    out["case_page"] = S.case_page(V.answers(out, anchors))
     out["messages"] = tiered
     return Case(anchors, out)
 
 
+def _limits(cover: DataFrame, messages: DataFrame, anchors: S.Anchors) -> DataFrame:
+    """audit.coverage_warnings() of a case: none without dated messages or without a compromise."""
+    span = messages.agg(F.min("sec").alias("lo"), F.max("sec").alias("hi")).first()
+    if span.lo is None or anchors.compromise_sec is None:
+        return cover.sparkSession.createDataFrame([], "severity string, text string")
+    return A.coverage_warnings(cover, span.lo, span.hi, anchors.compromise_sec, anchors.lookback_days)
+
+
 def _flagged(f: DataFrame, hits: DataFrame, flag: str) -> DataFrame:
     """f with a boolean column: whether a message's path is among the hits'."""
     return f.join(hits.select(F.col("path").alias("__hit")).distinct(), F.col("path") == F.col("__hit"), "left").withColumn(flag, F.col("__hit").isNotNull()).drop("__hit")

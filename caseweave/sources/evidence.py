@@ -12,7 +12,8 @@ from caseweave.sources import exports
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "signin": exports.read_signins, "audit": exports.read_audit, "users": exports.read_users, "devices": exports.read_devices, "mfa": exports.read_mfa, "roles": exports.read_roles, "risk": exports.read_risk,
-    "domains": exports.read_domains, "trace": exports.read_trace, "transport": exports.read_transport_rules,
+    "domains": exports.read_domains, "trace": exports.read_trace, "transport": exports.read_transport_rules, "entra_audit": exports.read_entra_audit, "oauth": exports.read_oauth,
+    "rules": exports.read_mailbox_rules, "permissions": exports.read_permissions, "audit_status": exports.read_audit_status,
 }
 
 

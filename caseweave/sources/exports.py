@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.timeparse import parse_iso
+from caseweave.operators.identity import initiator, mailbox_rules, targets
 
 #: Columns under which exports wrap their records.
 WRAPPERS = ("value", "records", "items", "signins", "data")
@@ -158,6 +159,53 @@ def read_transport_rules(spark: SparkSession, path: str) -> DataFrame:
     return df.select(field(df, "name", "identity", "rulename").alias("name"), field(df, "state", "enabled").alias("state"), redirects.alias("redirects"), (F.size(redirects) > 0).alias("conceals")).filter("name IS NOT NULL")
 
 
+def _nested(df: DataFrame, name: str) -> Column:
+    """A column as text: objects and lists as JSON; null where it isn't there."""
+    if name not in df.columns:
+        return F.lit(None).cast("string")
+    return F.to_json(f"`{name}`") if isinstance(df.schema[name].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{name}`").cast("string")
+
+
+def read_entra_audit(spark: SparkSession, path: str) -> DataFrame:
+    """A directory audit log: id, activity, result, sec, actor, ip, target, permission."""
+    df = read_export(spark, path)
+    who = initiator(_nested(df, "initiatedby"), field(df, "userprincipalname", "initiatedby_user_userprincipalname", "actor", "user"), field(df, "ipaddress", "initiatedby_user_ipaddress", "clientip", "ip"))
+    on = targets(_nested(df, "targetresources"))
+    plain = field(df, "targetdisplayname", "target", "objectid")
+    when = parse_iso(field(df, "activitydatetime", "createddatetime", "timegenerated", "date", "time"))
+    x = df.select(field(df, "id").alias("id"), field(df, "activitydisplayname", "activity", "operationname", "operation").alias("activity"), F.coalesce(field(df, "result", "resultstatus", "status"), F.lit("success")).alias("result"), F.unix_seconds(when).alias("sec"), who.alias("who"), on.alias("on"), plain.alias("plain"))
+    return x.select("id", "activity", "result", "sec", "who.actor", "who.ip", F.coalesce(F.try_element_at("on.names", F.lit(1)), "plain", F.lit("")).alias("target"), F.coalesce(F.nullif("on.permission", F.lit("")), "plain", F.lit("")).alias("permission"))
+
+
+def read_oauth(spark: SparkSession, path: str) -> DataFrame:
+    """OAuth grants as they stand: id, app, permission, principal, sec."""
+    df = read_export(spark, path)
+    app, scopes = field(df, "applicationname", "clientdisplayname", "appdisplayname", "displayname", "application", "clientid"), field(df, "permission", "permissions", "scope", "scopes", "consentedpermissions", "approle", "value")
+    x = df.select(field(df, "id", "grantid", "oauth2permissiongrantid").alias("id"), app.alias("app"), scopes.alias("permission"), F.coalesce(field(df, "principaldisplayname", "userprincipalname", "principal"), F.lit("")).alias("principal"), F.unix_seconds(parse_iso(field(df, "createddatetime", "consentdate", "grantdate"))).alias("sec"))
+    return x.filter("app IS NOT NULL OR permission IS NOT NULL").withColumn("app", F.coalesce("app", F.lit("")))
+
+
+def read_mailbox_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Inbox rules as they are now, by identity.mailbox_rules()."""
+    df = read_export(spark, path)
+    first = {"name": ("rulename", "name", "identity", "ruleidentity"), "mailbox": ("mailbox", "userprincipalname", "mailboxownerid", "primarysmtpaddress"), "forward_to": ("forwardto", "redirectto", "forwardasattachmentto"), "move_to": ("movetofolder", "copytofolder"), "delete": ("deletemessage", "softdeletemessage"), "words": ("subjectcontainswords", "bodycontainswords", "subjectorbodycontainswords")}
+    return mailbox_rules(df.select(*[field(df, *names).alias(c) for c, names in first.items()]).filter("name IS NOT NULL OR mailbox IS NOT NULL").withColumn("name", F.coalesce("name", F.lit("(unnamed)"))))
+
+
+def read_permissions(spark: SparkSession, path: str) -> DataFrame:
+    """Grants on mailboxes: mailbox, user, rights, inherited."""
+    df = read_export(spark, path)
+    first = {"mailbox": ("identity", "mailbox", "primarysmtpaddress", "userprincipalname"), "user": ("user", "trustee", "granteename", "accessrightsholder"), "rights": ("accessrights", "rights", "permission"), "inherited": ("isinherited", "inherited")}
+    return df.select(*[F.lower(field(df, *names)).alias(c) for c, names in first.items()]).filter("mailbox IS NOT NULL AND user IS NOT NULL").na.fill("", ["rights", "inherited"])
+
+
+def read_audit_status(spark: SparkSession, path: str) -> DataFrame:
+    """Audit settings of mailboxes: seq (the order of rows), mailbox, enabled, records_reads."""
+    df = read_export(spark, path)
+    combined = F.lower(F.concat_ws(" ", field(df, "auditowner"), field(df, "auditdelegate"), field(df, "auditadmin"), *[_nested(df, c) for c in ("auditowner", "auditdelegate", "auditadmin")]))
+    return df.select(F.monotonically_increasing_id().alias("seq"), F.lower(field(df, "identity", "mailbox", "userprincipalname", "primarysmtpaddress")).alias("mailbox"), field(df, "auditenabled", "auditlogenabled", "defaultauditset").alias("enabled"), combined.contains("mailitemsaccessed").alias("records_reads")).filter("mailbox IS NOT NULL")
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """path, kind of the exports below a folder, by identify(): names come from the listing, columns from each file's first line."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")

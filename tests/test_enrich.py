@@ -43,6 +43,9 @@ def test_drift(spark):
     rules = spark.createDataFrame([("a", ["x@evil"], [], "", True), ("b", ["in@corp"], [], "", True), ("c", [], [], "RSS", True), ("d", [], [], "", False)], schema)
     rec = spark.createDataFrame([("r", [], [], "rss", True)], schema)
     assert sorted(tuple(r) for r in enrich.config_drift(rules, rec, ("corp",)).collect()) == [("a", True), ("b", False)]
+    second = spark.createDataFrame([("e", ["x@evil", "y@evil"], ["w"], "", True), ("f", ["w"], [], "", True)], schema)
+    known = spark.createDataFrame([("r", ["y@evil"], ["w"], "", True)], schema)  # an address at another place explains; a word that equals an address doesn't
+    assert [tuple(r) for r in enrich.config_drift(second, known, ("corp",)).collect()] == [("f", True)]
     p = spark.createDataFrame([("m", "eve@evil", "FullAccess"), ("m", "dan@corp", "SendAs"), ("m", "x", "Owner")], "mailbox string, user string, rights string")
     assert sorted((r.user, r.external) for r in enrich.delegations(p, ("corp",)).collect()) == [("dan@corp", False), ("eve@evil", True)]
 

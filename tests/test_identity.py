@@ -45,8 +45,8 @@ def test_directory(spark):
 def test_rules_and_permissions(spark):
     r = identity.mailbox_rules(spark.createDataFrame([(".", "v", "smtp:out@evil.example", "", "no", '"wire"; invoice'), ("Sorting", "v", "", "RSS Feeds", "", "")], "name string, mailbox string, forward_to string, move_to string, delete string, words string"))
     got = r.orderBy("name").collect()
-    assert (got[0].forwards, got[0].words, got[0].conceals) == (["out@evil.example"], ["wire", "invoice"], False) and got[1].conceals
-    f = identity.rule_findings(r.withColumns({"move_to": F.lit(""), "mark_read": F.lit(False), "stop": F.lit(False)}))
+    assert (got[0].forwards, got[0].words, got[0].conceals) == (["out@evil.example"], ["wire", "invoice"], True) and got[1].conceals
+    f = identity.rule_findings(r.withColumns({"mark_read": F.lit(False), "stop": F.lit(False)}))
     assert sorted((x.name, x.odd_name, x.suspicious) for x in f.collect()) == [(".", True, True), ("Sorting", False, True)]
     p = spark.createDataFrame([("m", "NT AUTHORITY\\SELF", "Full", "False"), ("m", "Eve", "Full", "False"), ("m", "Dan", "Full", "True")], "mailbox string, user string, rights string, inherited string")
     assert [x.user for x in identity.mailbox_permissions(p).collect()] == ["eve"]
