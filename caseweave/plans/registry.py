@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TOPICS = ("audit", "signin", "text", "mail", "thread", "score", "evidence")
+TOPICS = ("audit", "signin", "text", "mail", "thread", "score", "evidence", "config")
 #: Columns that the SQL makes of 32-bit literals.
 NARROW = {
     "aitm_score": ("score",), "page_cap_truncation": ("smallest", "largest", "page_cap"), "single_leg_scores": ("score",), "url_risk": ("risk",), "attachment_substitution": ("score",), "thread_precursor": ("bonus",), "thread_roots": ("steps",),
