@@ -99,8 +99,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_diagnostic(report.diagnostic(got.statistics, got.messages), a.diagnostic)
     if a.json:
         sinks.write_json({k: v for k, v in got.frames.items() if k not in ("messages",)}, a.json)
-    got.tiers.groupBy("tier").count().orderBy("tier").show()
-    got.verdict.show(truncate=False)
+    for title, df in report.console(got.frames).items():
+        print(title)
+        df.show(truncate=80)
     if a.fail_on_tier and not got.tiers.filter(f"tier <= {a.fail_on_tier}").isEmpty():
         return 3
     return 0

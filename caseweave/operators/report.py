@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave import config as C
+from caseweave.operators.rollups import top_domains
 from caseweave.operators.scoring import provenance, severity
 
 # The columns of the exposure inventory.
@@ -30,6 +31,19 @@ def report_subset(messages: DataFrame, verdict: DataFrame, k: int = 200) -> Data
     return messages.join(wanted, "path", "left_semi")
 
 
+def console(frames: dict[str, DataFrame], k: int = 10) -> dict[str, DataFrame]:
+    """What a console shows of a case, by title: how many messages each tier has, and the first k candidates, domains, campaigns,
+    indicators, signals and lines of the timeline."""
+    m = frames["messages"]
+    return {
+        "tiers": m.groupBy("tier").agg(F.count("*").alias("messages")).orderBy("tier"),
+        "candidates": m.filter("score > 0 OR coalesce(confirmed, false)").orderBy(*candidate_order()).limit(k).select("tier", "score", "confirmed", "sender", "subject", "path"),
+        "domains": top_domains(m, k), "campaigns": frames["campaigns"].orderBy(F.desc("score"), F.desc("size"), "campaign").limit(k).select("campaign", "size", "score", "confidence", "senders", "origin"),
+        "indicators": frames["iocs"].orderBy("best_tier", F.desc("occurrences"), "type", "value").limit(k).select("type", "value", "occurrences", "best_tier"),
+        "signals": frames["statistics"].orderBy(F.desc("fires"), "signal").limit(k), "timeline": frames["timeline"].orderBy(F.asc_nulls_last("sec"), "source", "ref").limit(k), "verdict": frames["verdict"],
+    }
+
+
 def slim_urls(analyses: Column, cap: int = URL_CAP) -> Column:
     """The riskiest analysis of each domain (of each URL without one), riskiest first, `cap` at most.
     analyses: array of structs url, domain, score; ties stay in their order."""

@@ -194,6 +194,14 @@ def upserted(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("path"), "path", "left_anti").unionByName(new)
 
 
+def prunable(listing: DataFrame, tiers: DataFrame, hits: DataFrame, extracted: str, keep_tiers: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """path, length of the files that may go once a case is closed: below the folder of extracted mail, in no kept tier, and
+    without a scanner's hit. Files that no tier knows stay. listing: path, length; tiers: path, tier; hits: path."""
+    below = listing.filter(F.regexp_replace("path", "^file:/+", "/").startswith(extracted.removeprefix("file:").rstrip("/") + "/"))
+    go = tiers.filter(~F.col("tier").isin(*keep_tiers)).select("path").distinct()
+    return below.join(go, "path", "left_semi").join(hits.select("path"), "path", "left_anti").select("path", "length")
+
+
 def attachment_payloads(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFrame:
     """path, filename, content of every attachment below a path, read again for a scanner."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")

@@ -10,9 +10,11 @@ from caseweave import config as C
 
 def spray_stream(signins: DataFrame, window: str = "60 minutes", slide: str = "5 minutes", late: str = "10 minutes", least_users: int = 5, key: str = "ip") -> DataFrame:
     """key, start, users, failures of each sliding window in which wrong passwords hit many users. signins: ts, user, key, code.
-    Users are counted exactly while they are few (a set for each open window and key), so the state is bounded by the watermark."""
+    Failures are counted for each user first, then users: state is small rows, spread over all tasks by user, that the
+    watermark removes; no set of users is held. For the append mode, in which a window comes once, when it is over."""
     bad = signins.filter(F.col("code").isin(*C.BAD_PASSWORD_CODES)).withWatermark("ts", late)
-    g = bad.groupBy(F.window("ts", window, slide), key).agg(F.size(F.collect_set("user")).alias("users"), F.count("*").alias("failures"))
+    each = bad.groupBy(F.window("ts", window, slide), key, "user").agg(F.count("*").alias("failures"))
+    g = each.groupBy("window", key).agg(F.count("user").alias("users"), F.sum("failures").alias("failures"))
     return g.filter(F.col("users") >= least_users).select(key, F.col("window.start").alias("start"), "users", "failures")
 
 

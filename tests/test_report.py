@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from caseweave import config as C
-from caseweave import sinks
+from caseweave import signins, sinks
 from caseweave.functions import auth, files, text
 from caseweave.operators import audit as A
 from caseweave.operators import baseline as B
@@ -175,3 +175,19 @@ def test_evidence_folder_and_cache(spark, tmp_path):
     listing = spark.createDataFrame([("p1", 1, 1, None), ("moved", 1, 9, "h2"), ("p3", 2, 2, "h9")], "path string, length long, modificationTime long, sha256 string")
     assert {(r.path, r.subject) for r in mail.reused_messages(listing, stored).collect()} == {("p1", "x"), ("moved", "y")}
     assert {(r.path, r.subject) for r in mail.upserted(stored, stored.filter("path = 'p1'").withColumn("subject", F.lit("n"))).collect()} == {("p1", "n"), ("p2", "y"), ("p3", "z")}
+
+
+def test_prunable(spark):
+    listing = spark.createDataFrame([("file:/x/out/a.eml", 1), ("file:/x/out/b.eml", 2), ("file:/x/out/c.eml", 3), ("file:/x/own/d.eml", 4), ("file:/x/out/e.eml", 5)], "path string, length long")
+    tiers = spark.createDataFrame([("file:/x/out/a.eml", 3), ("file:/x/out/b.eml", 2), ("file:/x/out/c.eml", 3), ("file:/x/own/d.eml", 3)], "path string, tier int")
+    hits = spark.createDataFrame([("file:/x/out/c.eml",)], "path string")
+    assert [tuple(r) for r in mail.prunable(listing, tiers, hits, "/x/out").collect()] == [("file:/x/out/a.eml", 1)]
+
+
+def test_sign_ins_on_their_own(spark, tmp_path, capsys):
+    log = tmp_path / "SignIns.json"
+    log.write_text('[{"createdDateTime": "2024-01-08T00:00:00Z", "userPrincipalName": "a@b", "correlationId": "c", "isInteractive": true, "ipAddress": "198.51.100.67", "originalTransferMethod": "deviceCodeFlow", "status": {"errorCode": 0}, "deviceDetail": {"deviceId": "d1"}}]')
+    (tmp_path / "d.csv").write_text("DisplayName,DeviceId,RegisteredOwners\nphone,d1,a@b\n")
+    assert signins.main([str(log), "--devices", str(tmp_path / "d.csv"), "--json", str(tmp_path / "o")], spark) == 0
+    assert "198.51.100.67" in capsys.readouterr().out
+    assert spark.read.json(str(tmp_path / "o" / "owner_addresses")).count() == 1

@@ -19,10 +19,10 @@ def test_spray(spark, tmp_path):
     from datetime import datetime, timedelta
 
     t = datetime(2024, 1, 1, 10)
-    rows = [(t + timedelta(minutes=i), f"u{i}", "ip1", "50126") for i in range(6)] + [(t, "u1", "ip2", "50126"), (t, "u9", "ip1", "")]
+    rows = [(t + timedelta(minutes=i), f"u{i}", "ip1", "50126") for i in range(6)] + [(t, "u1", "ip2", "50126"), (t, "u9", "ip1", ""), (t + timedelta(minutes=1), "u1", "ip1", "50126"), (t, None, "ip1", "50126")]
     s = stream(spark, str(tmp_path / "s"), rows, "ts timestamp, user string, ip string, code string", [(t + timedelta(days=1), "z", "ip9", "50126")])
     got = drain(detectors.spray_stream(s))
-    assert {r.ip for r in got} == {"ip1"} and max(r.users for r in got) == 6
+    assert {r.ip for r in got} == {"ip1"} and max((r.users, r.failures) for r in got) == (6, 8)
 
 
 def test_sessions(spark, tmp_path):
