@@ -31,8 +31,11 @@ class Counter:
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        try:
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        except FileNotFoundError:
+            raise FileNotFoundError(f"no vocabulary at {path}: the file must lie there on every worker, or give its path") from None
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
@@ -197,7 +200,8 @@ def _as_rows(leaves: list[tuple[int, int, int]]) -> list[dict]:
 def count_tokens(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """doc_id, text, n_pieces, n_tokens and leaves (the leaf level of the tree: all that recounting needs) of each row.
 
-    docs: doc_id, text; other columns are ignored. path: a file of ranks, read where the tasks run. Null or empty
+    docs: doc_id, text; other columns are ignored. path: a file of ranks, read where the tasks run, so it must
+    lie there on every worker (else the job fails and says so). Null or empty
     text: no tokens, no leaves. Whole texts; one pass, no shuffle. Repeated rows each return a row. Empty: no rows."""
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
     kind = ids_only(docs, ("doc_id",)).schema[0].dataType.simpleString()

@@ -90,3 +90,8 @@ def test_query(spark, sf, count):
             if s >= at:
                 out, at, done = out + text[at:s] + new, e, done + 1
         assert r.n_edits == done and r.n_tokens_after == len(count.encoding.encode_ordinary(out + text[at:]))
+
+
+def test_a_missing_vocabulary_is_named():
+    with pytest.raises(FileNotFoundError, match="on every worker"):
+        tc.Counter("/nowhere/ranks")
