@@ -92,8 +92,9 @@ def rule_replay(messages: DataFrame, rules: list[dict], day: str = "day") -> Dat
 
 def attachment_substitution(attachments: DataFrame, compromise_day: int) -> DataFrame:
     """thread, name, first and later copy of other bytes, score: later copies compared with the first by a window, not
-    a self-join. attachments: path, thread, name, sha, day, sender, domain."""
-    w = Window.partitionBy("thread", "name").orderBy("day", "path")
+    a self-join. attachments: path, thread, name, sha, day, sender, domain. Of copies of one day and path the one with
+    the smallest sha is first (then sender and domain; nulls last), so the result doesn't depend on any order of rows."""
+    w = Window.partitionBy("thread", "name").orderBy("day", "path", *[F.asc_nulls_last(c) for c in ("sha", "sender", "domain")])
     first = F.first(F.struct("path", "sha", "day", "sender", "domain")).over(w)
     x = attachments.withColumn("f", first).filter(F.col("sha") != F.col("f.sha"))
     late = F.when(F.col("day") < compromise_day, 0).when(F.col("f.day") < compromise_day, 3).otherwise(2)

@@ -213,7 +213,7 @@ RULE_REPLAY = f"WITH {MESSAGES} " + " UNION ALL ".join(map(_rule, RULES))
 
 
 def attachment_substitution(spark, d):
-    a = A.attachments(spark, d).withColumns({"sender": F.concat(F.lit("s"), F.col("sha") % 4), "domain": F.concat(F.lit("d"), F.col("sha") % 3)})
+    a = A.attachments(spark, d).withColumns({"sender": F.concat(F.lit("s"), F.col("sha").cast("long") % 4), "domain": F.concat(F.lit("d"), F.col("sha").cast("long") % 3)})
     return J.attachment_substitution(a, 10500)
 
 

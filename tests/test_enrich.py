@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from caseweave.operators import enrich
+from caseweave.operators import enrich, joins
 from caseweave.sources import exports
 
 
@@ -65,3 +65,11 @@ def test_readers(spark, tmp_path):
     assert exports.read_transport_rules(spark, put("transport.csv", "Name,RedirectMessageTo\nr,x@evil.example\n")).first().conceals
     kinds = {r.path.rsplit("/", 1)[-1]: r.kind for r in exports.discover(spark, str(tmp_path)).collect()}
     assert kinds["trace.csv"] == "trace" and kinds["devices.csv"] == "devices" and kinds["domains.csv"] == "domains" and kinds["mfa.csv"] == "mfa"
+
+
+def test_first_of_tied_copies_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("t", "n", 1, "t-1", sha, "s", "d") for sha in ("c", "a", "b", None)] + [("t", "n", 2, "t-2", "z", "s", "e")]
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame(r, "thread string, name string, day int, path string, sha string, sender string, domain string").coalesce(1)
+        got = joins.attachment_substitution(df, 2).collect()
+        assert sorted((x.original_sha, x.sha, x.score) for x in got) == [("a", "b", 0), ("a", "c", 0), ("a", "z", 6)]
