@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseweave import config as C
+from caseweave.checkpoint import materialize
 from caseweave.functions.text import jaccard
 from caseweave.operators.graph import components
 
@@ -32,78 +33,180 @@ def similarity(a: str, b: str, max_days: int = 30) -> Column:
 
 
 #: Members of a key that one task compares; a larger key is dealt over pairs of parts of this size.
-PART = 512
+PART = 4096
+#: What a sender and a domain in common add up to: with no more than 30 days apart, the least similarity of such messages.
+SAME_SENDER = 0.42
+#: Keys of a message, of those with most members, that are tried as containing its others.
+WIDEST = 8
 
 
-#: Of what two messages can share: the key's name, the feature, what each shared value adds to the similarity, and the most.
-SHARED = (("sender", "sender", 0.30, 0.30), ("domain", "domain", 0.12, 0.12), ("url", "urls", 0.15, 0.30), ("file", "files", 0.20, 0.20), ("hash", "hashes", 0.35, 0.35), ("term", "terms", 0.08, 0.25), ("recipient", "recipients", 0.10, 0.10))
-
-
-def _filled(features: DataFrame) -> Column:
-    """Which features a message has, as bits by their place in SHARED; the last bit is for words of the subject."""
-    kinds = dict(features.dtypes)
-    made = [F.coalesce(F.size(c) > 0 if kinds[c].startswith("array") else F.col(c) != "", F.lit(False)).cast("int") * (1 << i) for i, c in enumerate([*(x[1] for x in SHARED), "subject_tokens"])]
-    return sum(made, F.lit(0))
-
-
-def _bound(keys: dict) -> Column:
-    """The most that two messages' similarity can be, from the keys they share (n_ of each), days apart, and features."""
-    total = F.when(F.getbit("both", F.lit(len(SHARED))) == 1, 0.25).otherwise(0.0)
-    for i, (name, _, each, most) in enumerate(SHARED):
-        has = F.when(F.getbit("both", F.lit(i)) == 1, most).otherwise(0.0)
-        total = total + (F.least(F.lit(most), F.col(f"n_{name}") * each) if name in keys else has)
-    total = total + F.when(F.col("days") <= 1, 0.12).when(F.col("days") <= 3, 0.08).when(F.col("days") <= 7, 0.05).otherwise(0.0)
-    return F.when(F.col("days") > 30, total * 0.5).otherwise(total) + 1e-6
-
-
-def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS, part: int = PART, least: float = 0.0) -> DataFrame:
-    """Pairs (a, b: structs, a.path < b.path) of messages that share a key.
-
-    keys: name to (a column, or an array of keys; whether the key is weak). With t.weak_bucket and t.strong_bucket weak
-    keys of more messages say nothing and are left out, and of strong ones only so many lowest paths are compared; with
-    0 there is no cap, and all pairs of every key come back. Empty keys are left out. Members of a key of over `part`
-    messages are dealt by a hash of the path over parts, and each pair of parts meets as a key of its own, so a key
-    with a third of all messages is no task's own. What two messages share by keys bounds their similarity: pairs that
-    can't reach `least` go before any feature is fetched."""
+def _keysets(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds) -> DataFrame:
+    """path, keys: the numbers of the keys that each path shares with another, ascending; a key of more messages has a
+    smaller number. A key whose members all share another, larger one (a sender's, those of its domain) is left out:
+    its pairs meet there."""
     made = []
     for name, (col, weak) in keys.items():
-        x = features.select("path", F.struct("day", _filled(features).alias("has")).alias("about"), F.explode(F.array_distinct(col)).alias("key")).filter("key <> ''")
-        made.append(x.select("path", "about", F.lit(name).alias("kind"), F.concat(F.lit(f"{name}:"), "key").alias("key"), F.lit(weak).alias("weak")))
+        x = features.select("path", F.explode(F.array_distinct(col)).alias("key")).filter("key <> ''")
+        made.append(x.select("path", F.concat(F.lit(f"{name}:"), "key").alias("key"), F.lit(weak).alias("weak")))
     rows = made[0]
     for x in made[1:]:
         rows = rows.union(x)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    good = sizes.filter(F.col("n") > 1).select(F.col("key").alias("k"), "n")
-    members = rows
+    good = rows.groupBy("key").agg(F.count("*").alias("n"), F.first("weak").alias("weak")).filter("n > 1")
     if t.strong_bucket:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("path"))
-        members = rows.withColumn("r", rank).filter(F.col("r") <= t.strong_bucket)
         good = good.withColumn("n", F.least("n", F.lit(t.strong_bucket)))
-    members = members.join(good, F.col("key") == F.col("k"))
     if t.weak_bucket:
-        members = members.filter(~F.col("weak") | (F.col("n") <= t.weak_bucket))
-    members = members.withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+        good = good.filter(~F.col("weak") | (F.col("n") <= t.weak_bucket))
+    good = materialize(good.orderBy(F.desc("n"), "key").select(F.col("key").alias("k"), F.monotonically_increasing_id().alias("id")))
+    if t.strong_bucket:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("path"))
+        rows = rows.withColumn("r", rank).filter(F.col("r") <= t.strong_bucket)
+    sets = materialize(rows.join(good, F.col("key") == F.col("k")).groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("keys")))
+    wider = F.expr(f"explode(flatten(transform(slice(keys, 1, {WIDEST}), w -> transform(filter(keys, k -> k > w), k -> struct(k AS k, w AS w)))))")
+    within = sets.select(wider.alias("x")).groupBy("x.k", "x.w").agg(F.count("*").alias("both"))
+    single = sets.select(F.explode("keys").alias("k"))
+    inside = within.join(single.groupBy("k").agg(F.count("*").alias("n")), "k").filter("both = n").select("k").distinct()
+    kept = sets.select("path", F.explode("keys").alias("k")).join(inside, "k", "left_anti")
+    return kept.groupBy("path").agg(F.sort_array(F.collect_list("k")).alias("keys"))
+
+
+def _members(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds, columns: list[str]) -> DataFrame:
+    """key (a number), keys (all of the path's), path and these columns for each message and key that another has."""
+    sets = _keysets(features, keys, t).withColumnRenamed("path", "own_path")
+    both = features.select("path", *columns).join(sets, F.col("path") == F.col("own_path"))
+    return both.select(F.explode("keys").alias("key"), "keys", "path", *columns)
+
+
+def _met(members: DataFrame, reach: Column | None, part: int) -> DataFrame:
+    """Members x and y of the pairs that share a key and fulfil `reach`, each once: where the first key that they share
+    is. Members of a key of over `part` messages are dealt by a hash of the path over parts, and each pair of parts
+    meets as a key of its own, so a key with a third of all messages is no task's own. No pair is shuffled."""
+    columns = [c for c in members.columns if c not in ("key", "keys", "path")]
+    sizes = members.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     own, other = F.pmod(F.xxhash64("path", F.lit("part")), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.select("key", "kind", "path", "about", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", "kind", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "path", "about")
-    apart = (F.col("x.p") == F.col("x.q")) | (F.col("x.own") != F.col("y.own"))
+    dealt = members.join(sizes, F.col("key") == F.col("k")).select("key", "keys", "path", *columns, own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", F.col("keys")[0].alias("least"), "keys", "path", *columns)
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-    both, days = F.col("x.about.has").bitwiseAND(F.col("y.about.has")), F.abs(F.col("x.about.day") - F.col("y.about.day"))
-    met = dealt.alias("x").join(dealt.alias("y"), same & apart & (F.col("x.path") < F.col("y.path")))
-    met = met.select(F.col("x.path").alias("pa"), F.col("y.path").alias("pb"), F.col("x.kind").alias("kind"), both.alias("both"), days.alias("days"))
-    pairs = met.groupBy("pa", "pb").agg(F.first("both").alias("both"), F.first("days").alias("days"), *[F.count_if(F.col("kind") == n).alias(f"n_{n}") for n in keys])
-    if least:
-        pairs = pairs.filter(_bound(keys) >= least)
-    pairs = pairs.select("pa", "pb")
-    whole = features.select("path", F.struct(*features.columns).alias("f"))
-    one = pairs.join(whole.select(F.col("path").alias("pa"), F.col("f").alias("a")), "pa")
-    return one.join(whole.select(F.col("path").alias("pb"), F.col("f").alias("b")), "pb").select("a", "b")
+    apart = ((F.col("x.p") == F.col("x.q")) | (F.col("x.own") != F.col("y.own"))) & (F.col("x.path") < F.col("y.path"))
+    before = (F.col("x.least") == F.col("y.least")) & (F.col("x.least") < F.col("x.key"))
+    first = (F.col("x.least") == F.col("x.key")) | (F.col("y.least") == F.col("x.key")) | ~F.exists("x.keys", lambda k: (k < F.col("x.key")) & F.array_contains("y.keys", k))
+    on = same & apart & ~before & (reach if reach is not None else F.lit(True)) & first
+    return dealt.alias("x").join(dealt.alias("y").hint("shuffle_hash"), on)
+
+
+def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS, part: int = PART) -> DataFrame:
+    """Pairs (a, b: structs, a.path < b.path) of messages that share a key.
+
+    keys: name to (a column, or an array of keys; whether the key is weak). With t.weak_bucket and t.strong_bucket weak
+    keys of more messages say nothing and are left out, and of strong ones only so many lowest paths are compared; with
+    0 there is no cap, and all pairs of every key come back. Empty keys are left out."""
+    whole = features.withColumn("f", F.struct(*features.columns))
+    return _met(_members(whole, keys, t, ["f"]), None, part).select(F.col("x.f").alias("a"), F.col("y.f").alias("b"))
+
+
+#: Words of a subject are told apart in the sketch by this many bits, 64 in each of its numbers.
+SKETCH = 256
+
+
+def _sketched(features: DataFrame) -> DataFrame:
+    """features with the words of subjects as sorted numbers (subject_tokens), how many (words), a sketch of them (s0, ...: which
+    remainders their numbers leave), and has: which other lists have members, as bits."""
+    rest = [c for c in features.columns if c != "subject_tokens"]
+    base = materialize(features.withColumn("row", F.monotonically_increasing_id()))
+    words = base.select("row", F.explode(F.array_distinct("subject_tokens")).alias("word"))
+    numbers = materialize(words.groupBy(F.col("word").alias("w")).agg(F.count("*").alias("n")).select("w", F.monotonically_increasing_id().alias("id")))
+    place = F.pmod(F.xxhash64("id"), F.lit(SKETCH)).cast("int")
+    bits = [F.bit_or(F.when(F.floor(place / 64) == j, F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SKETCH // 64)]
+    found = words.join(numbers, F.col("word") == F.col("w")).groupBy(F.col("row").alias("r")).agg(F.sort_array(F.collect_list("id")).alias("subject_tokens"), F.count("*").cast("int").alias("words"), *bits)
+    has = sum((F.coalesce(F.size(c) > 0, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(LISTS)), F.lit(0))
+    out = base.select("row", *rest, has.alias("has")).join(found, F.col("row") == F.col("r"), "left")
+    none = [F.coalesce(F.col(f"s{j}"), F.lit(0).cast("long")).alias(f"s{j}") for j in range(SKETCH // 64)]
+    names = [F.coalesce(F.when(F.col(c) != "", F.xxhash64(c)), F.lit(0).cast("long")).alias(f"{c}_hash") for c in ("sender", "domain")]
+    return out.select(*rest, "has", "subject_tokens", F.coalesce("words", F.lit(0)).alias("words"), *none, *names)
+
+
+#: Lists of which two messages can share members, and the most that this adds to their similarity.
+LISTS = {"urls": 0.30, "files": 0.20, "hashes": 0.35, "terms": 0.25, "recipients": 0.10}
+
+
+#: What of a message pairs are compared by.
+COMPARED = ["day", "sender", "domain", "sender_hash", "domain_hash", *LISTS, "has", "subject_tokens", "words", *[f"s{j}" for j in range(SKETCH // 64)]]
+
+
+def _far() -> Column:
+    """Whether the sketches show that under a quarter of the words of two subjects is shared: a bit of the one that the other
+    lacks is a word that it lacks."""
+    def own(a: str, b: str) -> Column:
+        return F.col(f"{a}.words") - sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseAND(F.bitwise_not(f"{b}.s{j}"))) for j in range(SKETCH // 64)), F.lit(0))
+
+    every = F.col("x.words") + F.col("y.words")
+    return (every == 0) | (own("x", "y") * 5 < every) | (own("y", "x") * 5 < every)
+
+
+def _reaches(least: float) -> Column:
+    """Whether a pair can be of this similarity, by what is cheap to tell."""
+    has, days = F.col("x.has").bitwiseAND(F.col("y.has")), F.abs(F.col("x.day") - F.col("y.day"))
+    total = F.when(F.col("x.domain_hash") == F.col("y.domain_hash"), 0.12).otherwise(0.0) + F.when(F.col("x.sender_hash") == F.col("y.sender_hash"), 0.30).otherwise(0.0) + F.when(days <= 1, 0.12).when(days <= 3, 0.08).when(days <= 7, 0.05).otherwise(0.0)
+    total = total + F.when(has == 0, 0.0).otherwise(sum((F.when(has.bitwiseAND(F.lit(1 << i)) != 0, most).otherwise(0.0) for i, most in enumerate(LISTS.values())), F.lit(0.0)))
+    short = F.when(days > 30, 2 * least).otherwise(least) - 2e-6 - total
+    return (short <= 0.25) & ((short <= 0.0) | ~_far())
+
+
+def _similarity() -> Column:
+    """similarity() of x and y, from how many words they share (both) and members of lists (n_ of each)."""
+    def same(field: str) -> Column:
+        return F.coalesce((F.col(f"x.{field}_hash") == F.col(f"y.{field}_hash")) & (F.col(f"x.{field}") != "") & (F.col(f"x.{field}") == F.col(f"y.{field}")), F.lit(False))
+
+    days, every = F.abs(F.col("x.day") - F.col("y.day")), F.col("x.words") + F.col("y.words")
+    parts = [
+        F.when(same("sender"), 0.30), F.when(same("domain"), 0.12), F.least(F.lit(0.30), F.col("n_urls") * 0.15), F.when(F.col("n_files") > 0, 0.20), F.when(F.col("n_hashes") > 0, 0.35),
+        F.when((F.col("both") > 0) & (F.col("both") * 3 >= every), 0.25).when((F.col("both") > 0) & (F.col("both") * 5 >= every), 0.12), F.least(F.lit(0.25), F.col("n_terms") * 0.08), F.when(F.col("n_recipients") > 0, 0.10),
+    ]
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) + F.when(days <= 1, 0.12).when(days <= 3, 0.08).when(days <= 7, 0.05).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), total * F.when(days > 30, 0.5).otherwise(1.0)), 6)
+
+
+def _linked(members: DataFrame, threshold: float, out: list[str], on: Column | None = None, part: int = PART) -> DataFrame:
+    """These columns of x and y (x_, y_) and the similarity of pairs that reach the threshold."""
+    met = _met(members, _reaches(threshold) if on is None else on & _reaches(threshold), part)
+    words = F.when(_far(), 0).when(F.col("x.subject_tokens") == F.col("y.subject_tokens"), F.col("x.words")).otherwise(F.coalesce(F.size(F.array_intersect("x.subject_tokens", "y.subject_tokens")), F.lit(0)))
+    has = F.col("x.has").bitwiseAND(F.col("y.has"))
+    shared = [F.when(has.bitwiseAND(F.lit(1 << i)) != 0, F.size(F.array_intersect(f"x.{c}", f"y.{c}"))).otherwise(0).alias(f"n_{c}") for i, c in enumerate(LISTS)]
+    kept = dict.fromkeys([*out, "day", "words", "sender", "domain", "sender_hash", "domain_hash"])
+    met = met.select(*[F.struct(*[F.col(f"{a}.{c}") for c in kept]).alias(a) for a in ("x", "y")], words.alias("both"), *shared)
+    # The task's number, times 0, keeps the filter from being moved into the join, where similarities would be computed twice.
+    found = met.select(*[F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in ("x", "y") for c in out], (_similarity() + F.spark_partition_id() * F.lit(0.0)).alias("similarity"))
+    return found.filter(F.col("similarity") >= threshold)
 
 
 def campaign_links(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS) -> DataFrame:
-    """a, b, similarity of pairs that reach the threshold."""
-    pairs = candidate_pairs(features, keys, t, least=t.campaign_threshold).withColumn("similarity", similarity("a", "b"))
-    return pairs.filter(F.col("similarity") >= t.campaign_threshold).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), "similarity")
+    """a, b, similarity of pairs that reach the threshold. Their number grows with the square of a sender's messages; they
+    are made where they meet and neither shuffled nor kept. For campaigns alone, campaign_members needs no such list."""
+    found = _linked(_members(_sketched(features), keys, t, COMPARED), t.campaign_threshold, ["path"])
+    return found.select(F.col("x_path").alias("a"), F.col("y_path").alias("b"), "similarity")
+
+
+def campaign_members(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS) -> DataFrame:
+    """path, campaign (its lowest path) of all messages with a link: campaigns(campaign_links(...)) without that list.
+
+    Messages of a sender and domain at most 30 days apart are linked for sure (unless the threshold is above that), so the
+    days of each sender make chains. Then only pairs of different chains are compared, and of their links one for each
+    pair of chains goes on."""
+    members = materialize(_members(_sketched(features), keys, t, COMPARED))
+    sure = members.select("key", "path", "sender", "domain", "day").filter("sender <> '' AND domain <> '' AND day IS NOT NULL")
+    if t.campaign_threshold > SAME_SENDER:
+        sure = sure.limit(0)
+    group = ["key", "sender", "domain"]
+    days = sure.groupBy(*group, "day").agg(F.min("path").alias("low"))
+    w = Window.partitionBy(*group).orderBy("day")
+    chained = days.select("low", F.lag("low").over(w).alias("before"), (F.col("day") - F.lag("day").over(w)).alias("gap")).filter("gap <= 30").select(F.col("low").alias("a"), F.col("before").alias("b"))
+    chains = materialize(components(sure.join(days, [*group, "day"]).select(F.col("path").alias("a"), F.col("low").alias("b")).union(chained)).select(F.col("node").alias("in_chain"), F.col("component").alias("chain")))
+    rest = materialize(members.join(chains, F.col("path") == F.col("in_chain"), "left").select(*members.columns, F.coalesce("chain", "path").alias("chain")))
+    links = _linked(rest, t.campaign_threshold, ["chain"], F.col("x.chain") != F.col("y.chain"))
+    links = links.select(F.least("x_chain", "y_chain").alias("a"), F.greatest("x_chain", "y_chain").alias("b")).distinct()
+    joined = materialize(components(links))
+    of_chains = chains.join(joined, F.col("chain") == F.col("node"), "left").select(F.col("in_chain").alias("path"), F.coalesce("component", "chain").alias("campaign"))
+    single = joined.join(chains, F.col("node") == F.col("in_chain"), "left_anti").select(F.col("node").alias("path"), F.col("component").alias("campaign"))
+    return of_chains.union(single)
 
 
 def campaigns(links: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def investigate(messages: DataFrame, anchors: S.Anchors | None = None, audit: Da
 
     feats = materialize(tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "day", text.normalize_subject(F.col("subject")).alias("subject"), text.token_set(F.col("subject")).alias("subject_tokens"), text.terms_present(body, tuple(C.PHISHING_TERMS)).alias("terms"), F.array_distinct(F.transform("urls", lambda u: url.parts(u)["host"])).alias("urls"), F.transform("attachments", lambda a: files.attachment_key(a["filename"])).alias("files"), F.transform("attachments", lambda a: a["sha256"]).alias("hashes"), "recipients"))
     keys = {"subject": (F.array("subject"), False), "sender": (F.array("sender"), False), "domain": (F.array("domain"), True), "url": (F.col("urls"), False), "file": (F.col("files"), False), "term": (F.col("terms"), True)}
-    members = K.campaigns(K.campaign_links(feats, keys, t))
+    members = K.campaign_members(feats, keys, t)
     out["campaigns"] = K.campaign_summary(members.join(tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "day", "score", F.col("likely_precursor").alias("precursor"), F.transform("urls", lambda u: url.parts(u)["host"]).alias("urls")), "path"))
     out["campaign_indicators"] = K.campaign_indicators(members.join(tiered.select("path", "sender", F.col("sender_domain").alias("domain"), "score", F.col("likely_precursor").alias("precursor"), F.transform("urls", lambda u: url.parts(u)["host"]).alias("urls"), F.transform("attachments", lambda a: a["filename"]).alias("files")), "path"))
 

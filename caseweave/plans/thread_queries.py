@@ -85,7 +85,7 @@ CAMPAIGN_PAIRS = f"WITH {_PAIRS} SELECT a, b, similarity FROM l"
 
 
 def campaign_components(spark, d):
-    return K.campaigns(campaign_pairs(spark, d))
+    return K.campaign_members(_features(spark, d), _keys())
 
 
 _COMPONENTS = f"""{_PAIRS}, e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 
@@ -191,3 +192,32 @@ def test_sign_ins_on_their_own(spark, tmp_path, capsys):
     assert signins.main([str(log), "--devices", str(tmp_path / "d.csv"), "--json", str(tmp_path / "o")], spark) == 0
     assert "198.51.100.67" in capsys.readouterr().out
     assert spark.read.json(str(tmp_path / "o" / "owner_addresses")).count() == 1
+
+
+def _mail(spark, n, seed):
+    rng = random.Random(seed)
+    pick = lambda xs, k: rng.sample(xs, rng.randint(0, k))
+    rows = [(i - i % 40 // 39, rng.choice(["x", "y", "z", "", None]), rng.choice(["d", "e", "", None]), pick([f"w{j}" for j in range(6)], 5), pick(["t1", "t2", "t3"], 2), pick(["u1", "u2"], 1), rng.choice([None, *range(0, 90, 3)])) for i in range(n)]
+    f = spark.createDataFrame(rows, "path long, sender string, domain string, subject_tokens array<string>, terms array<string>, urls array<string>, day long").withColumns({c: F.array().cast("array<string>") for c in ("files", "hashes", "recipients")})
+    return f, {"sender": (F.array("sender"), False), "domain": (F.array("domain"), True), "url": (F.col("urls"), False), "term": (F.col("terms"), True)}
+
+
+def test_campaign_links_shuffle_no_pairs_and_come_once(spark):
+    f, keys = _mail(spark, 160, 7)
+    got = K.campaign_links(f, keys)
+    s = f.select("path", F.struct(*f.columns).alias("f"))
+    every = s.alias("x").join(s.alias("y"), F.col("x.path") < F.col("y.path")).select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).withColumn("similarity", K.similarity("a", "b"))
+    share = F.coalesce((F.col("a.sender") == F.col("b.sender")) & (F.col("a.sender") != ""), F.lit(False)) | F.coalesce((F.col("a.domain") == F.col("b.domain")) & (F.col("a.domain") != ""), F.lit(False)) | F.arrays_overlap("a.urls", "b.urls") | F.arrays_overlap("a.terms", "b.terms")
+    # rows that repeat a path share its keys, as in the SQL
+    paths = every.filter(share).select(F.col("a.path").alias("p"), F.col("b.path").alias("q")).distinct()
+    want = every.join(paths, (F.col("a.path") == F.col("p")) & (F.col("b.path") == F.col("q"))).filter(F.col("similarity") >= C.DEFAULTS.campaign_threshold).select("a.path", "b.path", "similarity").collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan.split("Join Inner")[0] for x in ("Aggregate", "Window", "Repartition"))
+
+
+def test_campaign_members_equal_components_of_all_links(spark):
+    for n, seed, t in ((160, 7, C.DEFAULTS), (40, 8, C.DEFAULTS), (90, 9, dataclasses.replace(C.DEFAULTS, campaign_threshold=0.6))):
+        f, keys = _mail(spark, n, seed)
+        want = K.campaigns(K.campaign_links(f, keys, t)).collect()
+        assert sorted(map(tuple, K.campaign_members(f, keys, t).collect())) == sorted(map(tuple, want)) and want
