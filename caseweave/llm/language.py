@@ -15,8 +15,6 @@ from ._common import ids_only, read_table, small_batches
 #: Lengths of n-grams, and the bits of the hash they share.
 GRAMS = (1, 2, 3)
 BITS = 16
-#: Labelled documents of each language that the model is fitted on, about: a sample chosen by a hash of doc_id and text.
-SAMPLE = 3000
 #: Added to each count.
 SMOOTH = 0.5
 #: Characters that are worked on at once; a longer text comes in pieces.
@@ -123,17 +121,13 @@ class Model:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score, fit
 
 
-def _sampled(labelled: DataFrame, sample: int) -> tuple[dict[str, int], DataFrame]:
-    """Documents of each language, and about `sample` of each by a hash of doc_id and text, so that null or repeated
-    ids don't come all or none (lang, text, share)."""
-    labelled = ids_only(labelled, ("doc_id", "text", "lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    shares = labelled.sparkSession.createDataFrame([(x, min(1 << 30, int(sample / n * (1 << 30)))) for x, n in sizes.items()], "lang string, share long")
-    return sizes, labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < F.col("share"))
+def _labelled(docs: DataFrame) -> DataFrame:
+    """All documents with a label and a text (doc_id, text, lang)."""
+    return ids_only(docs, ("doc_id", "text", "lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
 
 
-def calibrate(model: Model, held: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model with its least fits set by labelled documents it hasn't seen (doc_id, text, lang; a sample as in fit):
+def calibrate(model: Model, held: DataFrame) -> Model:
+    """The model with its least fits set by all labelled documents it hasn't seen (doc_id, text, lang):
     halfway between the mean fit of a language's documents and that of n-grams drawn at random, which fall into any
     bucket. A language without such a document has no least fit."""
     if not model.languages:
@@ -147,21 +141,20 @@ def calibrate(model: Model, held: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in same], pa.string()), pa.array(fit[same], pa.float64())], ["lang", "fit"])
 
     small_batches(held.sparkSession)
-    _, chosen = _sampled(held, sample)
-    typical = {r.lang: r.fit for r in chosen.select("lang", "text").mapInArrow(fits, "lang string, fit double").groupBy("lang").agg(F.avg("fit").alias("fit")).collect()}
+    typical = {r.lang: r.fit for r in _labelled(held).select("lang", "text").mapInArrow(fits, "lang string, fit double").groupBy("lang").agg(F.avg("fit").alias("fit")).collect()}
     chance = model.log_p.mean(axis=1, dtype=np.float64)
     model.least_fit = np.array([(typical[x] + c) / 2 if x in typical else -np.inf for x, c in zip(model.languages, chance, strict=True)])
     return model
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame) -> Model:
     """A model of labelled documents (doc_id, text, lang; null lang is left out).
 
-    Fitted on a sample of about `sample` documents a language, chosen by a hash (all where there are
-    fewer): a documented bound on what is trained on, since more text doesn't change the n-grams' shares. Its counts,
-    one row for each language and bucket, are summed by the executors before they come here."""
+    Fitted on all of them. Its counts, one row for each language and bucket, are summed by the executors before they
+    come here."""
     spark = labelled.sparkSession
-    sizes, chosen = _sampled(labelled, sample)
+    chosen = _labelled(labelled)
+    sizes = {r.lang: r.n for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0))
@@ -182,10 +175,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["at", "n"])
 
     small_batches(spark)
-    got = chosen.select("lang", "text").repartition(32).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = chosen.select("lang", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) << BITS)
     counts[got["at"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
-    return Model(languages, counts.reshape(len(languages), -1), np.array([min(sizes[x], sample) for x in languages]))
+    return Model(languages, counts.reshape(len(languages), -1), np.array([sizes[x] for x in languages]))
 
 
 def predict_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:

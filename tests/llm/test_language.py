@@ -69,3 +69,16 @@ def test_held_out_accuracy(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
     held = [docs[r.doc_id] == r.lang_pred for r in rows if r.held_out]
     assert sum(held) > 0.97 * len(held)
+
+
+def test_learns_from_all_labelled_documents(spark):
+    rows = [(i, "ab" if i % 2 else "abc", "en") for i in range(4000)] + [(5000, "xy", "de"), (5001, None, "de"), (5002, "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = la.fit(docs)
+    assert np.allclose(model.prior, np.log([1 / 4001, 4000 / 4001]))
+    one = np.zeros(1 << la.BITS)
+    for text, n in (("ab", 2000), ("abc", 2000)):
+        for _, grams in la.features([text]):
+            for buckets, _ in grams:
+                np.add.at(one, buckets, n)
+    assert np.allclose(model.log_p[1], np.log((one + la.SMOOTH) / (one + la.SMOOTH).sum()), atol=1e-5)
