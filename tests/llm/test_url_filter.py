@@ -108,6 +108,29 @@ def test_a_hot_url_and_a_small_model(spark):
     assert sum(len(t[4]) for t in whole.models[0].tables) > 1000
 
 
+def test_contexts_that_are_not_held_count_all_the_same(spark, monkeypatch):
+    good, bad = some_urls(n=150)
+    good, bad = [u.replace("example.org", "example.com") for u in good], [u.replace(".biz/", ".net/es/") for u in bad]
+    free = [f"http://win-{i}.example.org/story/{i * 7}" for i in range(60)] + ["", "é", "h", "http://x.org/" + "z9" * 400]
+    rows = list(enumerate([None, *good, *bad, *free, *free[:1] * 500])) + [(0, free[0]), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+
+    def verdicts(**more):
+        return sorted(uf.url_verdicts(df, **more).collect(), key=str)
+
+    whole = verdicts()
+    assert len(whole) == len(rows) and {r.verdict for r in whole if not r.rule} == {"allow", "block"}
+    assert verdicts(most_pairs=300) == whole
+    monkeypatch.setattr(uf, "CHUNK", 300)  # many chunks, nearly all joined
+    assert verdicts(most_pairs=1) == whole
+    ruled = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, allow boolean")
+    some, every = uf.fit(ruled, most_pairs=300), uf.fit(ruled)
+    assert every.rest is None and (some.threshold, some.right) == (every.threshold, every.right)
+    # what is held and the rest together are the whole models
+    kept = [sum(len(t[4]) for t in m.tables) for m in some.models]
+    assert sum(kept) + some.rest.filter("what % 2 = 1").count() == sum(len(t[4]) for m in every.models for t in m.tables)
+
+
 def test_threshold_is_the_best_cut():
     rng = random.Random(5)
     model = uf.MarkovModel(uf.pairs_of([b"x"], 0))
