@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,19 +80,30 @@ def _members(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thr
 
 def _met(members: DataFrame, reach: Column | None, part: int) -> DataFrame:
     """Members x and y of the pairs that share a key and fulfil `reach`, each once: where the first key that they share
-    is. Members of a key of over `part` messages are dealt by a hash of the path over parts, and each pair of parts
-    meets as a key of its own, so a key with a third of all messages is no task's own. No pair is shuffled."""
+    is. Members of a key of over `part` messages are dealt by a hash of the path over parts; each pair of parts meets as
+    a cell, in which x comes from the one and y from the other, so a key with a third of all messages is no task's own
+    and no pair is looked at from both sides. No pair is shuffled. The condition has no function of higher order, which
+    would keep the join from being compiled, and cells meet by one number, which is the fastest kind of hash table; what
+    it stands for is compared too."""
     columns = [c for c in members.columns if c not in ("key", "keys", "path")]
     sizes = members.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    own, other = F.pmod(F.xxhash64("path", F.lit("part")), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.join(sizes, F.col("key") == F.col("k")).select("key", "keys", "path", *columns, own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", F.col("keys")[0].alias("least"), "keys", "path", *columns)
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-    apart = ((F.col("x.p") == F.col("x.q")) | (F.col("x.own") != F.col("y.own"))) & (F.col("x.path") < F.col("y.path"))
-    before = (F.col("x.least") == F.col("y.least")) & (F.col("x.least") < F.col("x.key"))
-    first = (F.col("x.least") == F.col("x.key")) | (F.col("y.least") == F.col("x.key")) | ~F.exists("x.keys", lambda k: (k < F.col("x.key")) & F.array_contains("y.keys", k))
-    on = same & apart & ~before & (reach if reach is not None else F.lit(True)) & first
-    return dealt.alias("x").join(dealt.alias("y").hint("shuffle_hash"), on)
+    own = F.pmod(F.xxhash64("path", F.lit("part")), F.col("parts")).cast("int")
+    dealt = members.join(sizes, F.col("key") == F.col("k")).select("key", "keys", "path", *columns, "parts", own.alias("own"), F.coalesce(F.col("keys")[0], "key").alias("least"))
+
+    def role(others: Column, first: str, second: str, more: list) -> DataFrame:
+        out = dealt.withColumn("other", F.explode(others))
+        pair = F.shiftleft(F.col(first).cast("long"), 31).bitwiseOR(F.col(second).cast("long")).alias("parts")
+        return out.select(F.xxhash64("key", first, second).alias("cell"), "key", F.coalesce(pair, F.lit(0).cast("long")).alias("parts"), "least", "path", F.coalesce(F.col("own") == F.col("other"), F.lit(False)).alias("alone"), *columns, *more)
+
+    x = role(F.sequence(F.col("own"), F.col("parts") - 1), "own", "other", [F.filter("keys", lambda k: k < F.col("key")).alias("before")]).alias("x")
+    y = role(F.sequence(F.lit(0), F.col("own")), "other", "own", ["keys"]).alias("y")
+    once = ~F.col("x.alone") | (F.col("x.path") < F.col("y.path"))
+    same = (F.col("x.key").bitwiseXOR(F.col("y.key")) == 0) & (F.col("x.parts").bitwiseXOR(F.col("y.parts")) == 0)
+    first = (F.col("x.least") == F.col("x.key")) | (F.col("y.least") == F.col("x.key")) | (F.col("x.least") != F.col("y.least"))
+    met = x.join(y.hint("shuffle_hash"), (F.col("x.cell") == F.col("y.cell")) & (reach if reach is not None else F.lit(True)) & once & first & same)
+    # With the task's number in it, the look into lists of keys isn't moved into the join's condition, which fetches all it needs for each two rows.
+    again = F.when(F.spark_partition_id() < 0, False).when((F.col("x.least") == F.col("x.key")) | (F.col("y.least") == F.col("x.key")), True).otherwise(~F.arrays_overlap("x.before", "y.keys"))
+    return met.filter(again)
 
 
 def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS, part: int = PART) -> DataFrame:
@@ -100,7 +113,8 @@ def candidate_pairs(features: DataFrame, keys: dict[str, tuple[Column, bool]], t
     keys of more messages say nothing and are left out, and of strong ones only so many lowest paths are compared; with
     0 there is no cap, and all pairs of every key come back. Empty keys are left out."""
     whole = features.withColumn("f", F.struct(*features.columns))
-    return _met(_members(whole, keys, t, ["f"]), None, part).select(F.col("x.f").alias("a"), F.col("y.f").alias("b"))
+    ordered = F.col("x.path") < F.col("y.path")
+    return _met(_members(whole, keys, t, ["f"]), None, part).select(F.when(ordered, F.col("x.f")).otherwise(F.col("y.f")).alias("a"), F.when(ordered, F.col("y.f")).otherwise(F.col("x.f")).alias("b"))
 
 
 #: Words of a subject are told apart in the sketch by this many bits, 64 in each of its numbers.
@@ -120,69 +134,89 @@ def _sketched(features: DataFrame) -> DataFrame:
     has = sum((F.coalesce(F.size(c) > 0, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(LISTS)), F.lit(0))
     out = base.select("row", *rest, has.alias("has")).join(found, F.col("row") == F.col("r"), "left")
     none = [F.coalesce(F.col(f"s{j}"), F.lit(0).cast("long")).alias(f"s{j}") for j in range(SKETCH // 64)]
+    lists = sum((F.when(F.col("has").bitwiseAND(F.lit(1 << i)) != 0, most).otherwise(0) for i, most in enumerate(LISTS.values())), F.lit(0))
+    bits = sum((F.bit_count(F.coalesce(f"s{j}", F.lit(0).cast("long"))) for j in range(SKETCH // 64)), F.lit(0))
+    # Of 5 times the words less those whose bit another has set: what more of common bits than words in common takes (_far).
+    lack = F.when(F.coalesce("words", F.lit(0)) == 0, 1 << 20).otherwise(5 * bits - 4 * F.col("words"))
+    derived = [F.coalesce(lists, F.lit(0)).alias("most"), F.coalesce(lack, F.lit(1 << 20)).alias("lack"), (F.col("day") + 30).alias("day30")]
     names = [F.coalesce(F.when(F.col(c) != "", F.xxhash64(c)), F.lit(0).cast("long")).alias(f"{c}_hash") for c in ("sender", "domain")]
-    return out.select(*rest, "has", "subject_tokens", F.coalesce("words", F.lit(0)).alias("words"), *none, *names)
+    return out.select(*rest, "has", "subject_tokens", F.coalesce("words", F.lit(0)).alias("words"), *none, *names, *derived)
 
 
-#: Lists of which two messages can share members, and the most that this adds to their similarity.
-LISTS = {"urls": 0.30, "files": 0.20, "hashes": 0.35, "terms": 0.25, "recipients": 0.10}
+#: Lists of which two messages can share members, and the most that this adds to their similarity, in hundredths.
+LISTS = {"urls": 30, "files": 20, "hashes": 35, "terms": 25, "recipients": 10}
 
 
 #: What of a message pairs are compared by.
-COMPARED = ["day", "sender", "domain", "sender_hash", "domain_hash", *LISTS, "has", "subject_tokens", "words", *[f"s{j}" for j in range(SKETCH // 64)]]
+COMPARED = ["day", "day30", "most", "lack", "sender", "domain", "sender_hash", "domain_hash", *LISTS, "has", "subject_tokens", "words", *[f"s{j}" for j in range(SKETCH // 64)]]
 
 
 def _far() -> Column:
-    """Whether the sketches show that under a quarter of the words of two subjects is shared: a bit of the one that the other
-    lacks is a word that it lacks."""
-    def own(a: str, b: str) -> Column:
-        return F.col(f"{a}.words") - sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseAND(F.bitwise_not(f"{b}.s{j}"))) for j in range(SKETCH // 64)), F.lit(0))
+    """Whether the sketches show that under a quarter of the words of two subjects is shared. A bit of one that the other lacks
+    is a word that it lacks, so of its words at most (words - its bits + common bits) are shared; lack holds what of that
+    is known of one message."""
+    common = sum((F.bit_count(F.col(f"x.s{j}").bitwiseAND(F.col(f"y.s{j}"))) for j in range(1, SKETCH // 64)), F.bit_count(F.col("x.s0").bitwiseAND(F.col("y.s0")))) * 5
+    return (common < F.col("x.lack") + F.col("y.words")) | (common < F.col("y.lack") + F.col("x.words"))
 
-    every = F.col("x.words") + F.col("y.words")
-    return (every == 0) | (own("x", "y") * 5 < every) | (own("y", "x") * 5 < every)
 
+def _near() -> Column:
+    """What days apart add to the similarity of x and y, in hundredths."""
+    days = F.abs(F.col("x.day") - F.col("y.day"))
+    return F.when(days <= 1, 12).when(days <= 3, 8).when(days <= 7, 5).otherwise(0)
 
-def _reaches(least: float) -> Column:
-    """Whether a pair can be of this similarity, by what is cheap to tell."""
-    has, days = F.col("x.has").bitwiseAND(F.col("y.has")), F.abs(F.col("x.day") - F.col("y.day"))
-    total = F.when(F.col("x.domain_hash") == F.col("y.domain_hash"), 0.12).otherwise(0.0) + F.when(F.col("x.sender_hash") == F.col("y.sender_hash"), 0.30).otherwise(0.0) + F.when(days <= 1, 0.12).when(days <= 3, 0.08).when(days <= 7, 0.05).otherwise(0.0)
-    total = total + F.when(has == 0, 0.0).otherwise(sum((F.when(has.bitwiseAND(F.lit(1 << i)) != 0, most).otherwise(0.0) for i, most in enumerate(LISTS.values())), F.lit(0.0)))
-    short = F.when(days > 30, 2 * least).otherwise(least) - 2e-6 - total
-    return (short <= 0.25) & ((short <= 0.0) | ~_far())
 
+def _reaches(least: float) -> Column:
+    """Whether a pair can be of this similarity, by what is cheapest to tell, as it is asked of each two members of a key: days
+    count as near, and lists that both have as equal."""
+    total = F.when(F.col("x.domain_hash") == F.col("y.domain_hash"), 24).otherwise(12) + F.when(F.col("x.sender_hash") == F.col("y.sender_hash"), 30).otherwise(0)
+    total = total + F.when(F.col("x.has").bitwiseAND(F.col("y.has")) == 0, 0).otherwise(F.col("x.most"))
+    once, twice = (math.ceil(n * 100 * least - 1e-6) for n in (1, 2))
+    apart = (F.col("x.day") > F.col("y.day30")) | (F.col("y.day") > F.col("x.day30"))
+    need = F.when(apart, twice).otherwise(once)
+    return (total + 25 >= need) & ((total >= need) | ~_far())
 
-def _similarity() -> Column:
-    """similarity() of x and y, from how many words they share (both) and members of lists (n_ of each)."""
-    def same(field: str) -> Column:
-        return F.coalesce((F.col(f"x.{field}_hash") == F.col(f"y.{field}_hash")) & (F.col(f"x.{field}") != "") & (F.col(f"x.{field}") == F.col(f"y.{field}")), F.lit(False))
 
-    days, every = F.abs(F.col("x.day") - F.col("y.day")), F.col("x.words") + F.col("y.words")
-    parts = [
-        F.when(same("sender"), 0.30), F.when(same("domain"), 0.12), F.least(F.lit(0.30), F.col("n_urls") * 0.15), F.when(F.col("n_files") > 0, 0.20), F.when(F.col("n_hashes") > 0, 0.35),
-        F.when((F.col("both") > 0) & (F.col("both") * 3 >= every), 0.25).when((F.col("both") > 0) & (F.col("both") * 5 >= every), 0.12), F.least(F.lit(0.25), F.col("n_terms") * 0.08), F.when(F.col("n_recipients") > 0, 0.10),
-    ]
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) + F.when(days <= 1, 0.12).when(days <= 3, 0.08).when(days <= 7, 0.05).otherwise(0.0)
-    return F.round(F.least(F.lit(1.0), total * F.when(days > 30, 0.5).otherwise(1.0)), 6)
+def _linked(members: DataFrame, threshold: float, out: list[str], on: Column | None = None, part: int = PART) -> DataFrame:
+    """These columns of x and y (x_, y_) and the similarity of pairs that reach the threshold.
+
+    Lists that nobody has are left out, as the JVM doesn't compile methods that are too long. All that similarity() adds are
+    hundredths, so whole numbers stand for them, without a rounding of doubles for each pair."""
+    used = members.agg(F.bit_or("has")).first()[0] or 0
+    lists = [c for i, c in enumerate(LISTS) if used & (1 << i)]
+    members = members.drop(*[c for c in LISTS if c not in lists])
+    reach = _reaches(threshold)
+    met = _met(members, reach if on is None else on & reach, part)
+
+    def same(field: str, adds: int) -> Column:
+        return F.when((F.col(f"x.{field}_hash") == F.col(f"y.{field}_hash")) & (F.col(f"x.{field}") != "") & (F.col(f"x.{field}") == F.col(f"y.{field}")), adds).otherwise(0)
+
+    has, far = F.col("x.has").bitwiseAND(F.col("y.has")), _far()
+    taken = [F.when(has.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"{a}.{c}")).alias(f"{a}_{c}_in") for i, c in enumerate(LISTS) if c in lists for a in ("x", "y")]
+    met = met.select(
+        *[F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in ("x", "y") for c in out], (same("sender", 30) + same("domain", 12) + _near()).alias("base"), F.when(F.abs(F.col("x.day") - F.col("y.day")) > 30, 5).otherwise(10).alias("times"),
+        (F.col("x.words") + F.col("y.words")).alias("every"), *[F.when(~far, F.col(f"{a}.subject_tokens")).alias(f"{a}_words_in") for a in ("x", "y")], *taken,
+    )
 
+    def shared(name: str) -> Column:
+        x, y = F.col(f"x_{name}_in"), F.col(f"y_{name}_in")
+        return F.when(x.isNull() | y.isNull(), 0).otherwise(F.size(F.array_intersect(x, y)))
 
-def _linked(members: DataFrame, threshold: float, out: list[str], on: Column | None = None, part: int = PART) -> DataFrame:
-    """These columns of x and y (x_, y_) and the similarity of pairs that reach the threshold."""
-    met = _met(members, _reaches(threshold) if on is None else on & _reaches(threshold), part)
-    words = F.when(_far(), 0).when(F.col("x.subject_tokens") == F.col("y.subject_tokens"), F.col("x.words")).otherwise(F.coalesce(F.size(F.array_intersect("x.subject_tokens", "y.subject_tokens")), F.lit(0)))
-    has = F.col("x.has").bitwiseAND(F.col("y.has"))
-    shared = [F.when(has.bitwiseAND(F.lit(1 << i)) != 0, F.size(F.array_intersect(f"x.{c}", f"y.{c}"))).otherwise(0).alias(f"n_{c}") for i, c in enumerate(LISTS)]
-    kept = dict.fromkeys([*out, "day", "words", "sender", "domain", "sender_hash", "domain_hash"])
-    met = met.select(*[F.struct(*[F.col(f"{a}.{c}") for c in kept]).alias(a) for a in ("x", "y")], words.alias("both"), *shared)
-    # The task's number, times 0, keeps the filter from being moved into the join, where similarities would be computed twice.
-    found = met.select(*[F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in ("x", "y") for c in out], (_similarity() + F.spark_partition_id() * F.lit(0.0)).alias("similarity"))
-    return found.filter(F.col("similarity") >= threshold)
+    words = F.when(F.col("x_words_in") == F.col("y_words_in"), F.size("x_words_in")).otherwise(shared("words"))
+    met = met.select("*", F.coalesce(words, F.lit(0)).alias("both"), *[shared(c).alias(f"n_{c}") for c in lists])
+    of = {"urls": lambda n: F.least(F.lit(30), n * 15), "files": lambda n: F.when(n > 0, 20).otherwise(0), "hashes": lambda n: F.when(n > 0, 35).otherwise(0), "terms": lambda n: F.least(F.lit(25), n * 8), "recipients": lambda n: F.when(n > 0, 10).otherwise(0)}
+    both, every = F.col("both"), F.col("every")
+    subject = F.when((both > 0) & (both * 3 >= every), 25).when((both > 0) & (both * 5 >= every), 12).otherwise(0)
+    total = F.col("base") + subject + sum((of[c](F.col(f"n_{c}")) for c in lists), F.lit(0))
+    # The task's number, times 0, keeps the filter from being moved before the lists' comparison.
+    similarity = F.least(F.lit(1000), total * F.col("times") + F.spark_partition_id() * 0) / F.lit(1000.0)
+    return met.select(*[f"{a}_{c}" for a in ("x", "y") for c in out], similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def campaign_links(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS) -> DataFrame:
     """a, b, similarity of pairs that reach the threshold. Their number grows with the square of a sender's messages; they
     are made where they meet and neither shuffled nor kept. For campaigns alone, campaign_members needs no such list."""
-    found = _linked(_members(_sketched(features), keys, t, COMPARED), t.campaign_threshold, ["path"])
-    return found.select(F.col("x_path").alias("a"), F.col("y_path").alias("b"), "similarity")
+    found = _linked(materialize(_members(_sketched(features), keys, t, COMPARED)), t.campaign_threshold, ["path"])
+    return found.select(F.least("x_path", "y_path").alias("a"), F.greatest("x_path", "y_path").alias("b"), "similarity")
 
 
 def campaign_members(features: DataFrame, keys: dict[str, tuple[Column, bool]], t: C.Thresholds = C.DEFAULTS) -> DataFrame:

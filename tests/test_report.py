@@ -56,6 +56,31 @@ def test_campaign_pairs_without_caps_equal_all_pairs(spark):
     assert sorted(map(tuple, small)) == sorted((tuple(r)) for r in every.filter(share).select("a.path", "b.path").collect())
 
 
+def test_join_of_campaign_pairs_is_compiled_and_equals_all_pairs(spark):
+    rng = random.Random(7)
+    some = lambda of, n: [rng.choice(of) for _ in range(rng.randint(0, n))]
+    rows = [(i, rng.choice(["x", "y", ""]), rng.choice(["d", "e"]), some("abcdef", 6), some(["t1", "t2", "t3"], 3), some(["u1", "u2", "u3"], 4), some(["f"], 1), some(["h1", "h2", "h3"], 1), some(["r1", "r2"], 2), rng.choice([None, *range(60)])) for i in range(150)]
+    rows = [(*r[:3], sorted(set(r[3])), *r[4:]) for r in rows]
+    f = spark.createDataFrame(rows, "path long, sender string, domain string, subject_tokens array<string>, terms array<string>, urls array<string>, files array<string>, hashes array<string>, recipients array<string>, day long")
+    keys = {"sender": (F.array("sender"), False), "domain": (F.array("domain"), True), "url": (F.col("urls"), False), "term": (F.col("terms"), True)}
+    s = f.select("path", F.struct(*f.columns).alias("f"))
+    every = s.alias("x").join(s.alias("y"), F.col("x.path") < F.col("y.path")).select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).withColumn("similarity", K.similarity("a", "b"))
+    share = ((F.col("a.sender") == F.col("b.sender")) & (F.col("a.sender") != "")) | (F.col("a.domain") == F.col("b.domain")) | F.arrays_overlap("a.urls", "b.urls") | F.arrays_overlap("a.terms", "b.terms")
+    want = sorted(map(tuple, every.filter(share & (F.col("similarity") >= C.DEFAULTS.campaign_threshold)).select("a.path", "b.path", "similarity").collect()))
+    assert sorted(map(tuple, K.campaign_links(f, keys).collect())) == want and len(want) > 300
+    members = K._members(K._sketched(f), keys, C.DEFAULTS, K.COMPARED)
+    small = K._linked(members, C.DEFAULTS.campaign_threshold, ["path"], part=16).select(F.least("x_path", "y_path"), F.greatest("x_path", "y_path"), "similarity")
+    assert sorted(map(tuple, small.collect())) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = K.campaign_links(f.withColumns({c: F.array().cast("array<string>") for c in ("urls", "files", "hashes", "recipients")}), keys)._jdf.queryExecution().executedPlan()
+        assert re.search(r"\*\(\d+\) ShuffledHashJoin \[cell", plan.toString())
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan))
+        assert sizes and max(map(int, sizes)) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_small_expressions(spark):
     d = spark.createDataFrame([(["mx; dmarc=fail reason=\"p reject\"; spf=pass; dkim=none"],), (["mx; spf=pass"],)], "h array<string>")
     assert [r[0] for r in d.select(auth.fail_reason(auth.auth_detail(F.col("h")))).collect()] == ["dmarc=fail p reject; dkim=none", ""]
